@@ -27,10 +27,16 @@ def root(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def cut(df: DataFrame, label: str = "table") -> DataFrame:
-    """``df`` written to the shared folder and read back, so later jobs start from the files."""
+def cut(df: DataFrame, label: str = "table", compact: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read back, so later jobs start from the files.
+
+    ``compact`` is for narrow tables behind a shuffle: at most as many files as
+    the cluster has cores, instead of one for each shuffle partition.
+    """
     spark = df.sparkSession
     path = f"{root(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+    if compact:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, 2))
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
