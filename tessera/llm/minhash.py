@@ -271,12 +271,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = cut(texts.mapInArrow(_sign(shingle, rows), "id long, n_shingles long, k1 long, k2 long, signature array<long>, bands array<long>"), "signed")
 
     usable = signed.where("n_shingles > 0 AND id IS NOT NULL")
-    reps = cut(usable.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "representatives")
+    reps = cut(usable.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "representatives", compact=True)
 
     members = reps.select(F.col("rep").alias("id"), "signature", F.explode("bands").alias("key"))
     buckets = _blocks(members, "key").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
     close = buckets.select("key", "i", "j", "id", "signature").mapInArrow(_close(lanes), "u long, v long")
-    families = cut(connected_components(close).select(F.col("node").alias("id"), F.col("component").alias("family")), "families")
+    families = cut(connected_components(close).select(F.col("node").alias("id"), F.col("component").alias("family")), "families", compact=True)
 
     sets = texts.join(families, "id").select("id", "text", "family")
     shingled = sets.select("id", "text").mapInArrow(_shingle_rows(shingle), "id long, shingles array<long>").join(families, "id")
