@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 #: Bytes of an Arrow batch, so that long texts don't fill a worker.
 ARROW_BYTES = 4 << 20
@@ -61,3 +61,10 @@ def group_starts(*columns: np.ndarray) -> np.ndarray:
             same &= c[1:] == c[:-1]
         new[1:] = ~same
     return np.append(np.flatnonzero(new), n)
+
+
+def widened(df: DataFrame, added: dict[str, str]) -> tuple[DataFrame, T.StructType]:
+    """``df`` without columns of the added names (they are replaced), and its schema with them."""
+    df = df.drop(*[c for c in df.columns if c.lower() in {a.lower() for a in added}])
+    fields = [T.StructField(n, T._parse_datatype_string(k)) for n, k in added.items()]
+    return df, T.StructType([*df.schema.fields, *fields])
