@@ -35,11 +35,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without byte strings of 100 that also start earlier; characters cut in two go whole, emptied documents too."""
-    left = remove_repeats(docs, length=100).where("n_removed < n_bytes OR n_bytes = 0").groupBy("doc_id").agg(F.first("kept").alias("kept"))
-    text = F.when(F.octet_length("text") == F.octet_length("kept"), F.col("text")).otherwise(F.replace(F.make_valid_utf8(F.expr("CAST(kept AS STRING)")), F.lit("�"), F.lit("")))
-    out = docs.select(*COLUMNS).join(left, "doc_id").withColumn("text", text)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Texts without byte strings of 100 that also start earlier; a character cut in two goes whole, a document emptied goes too."""
+    out = remove_repeats(docs, length=100, carry=("lang", "source", "n_chars")).where("n_removed < n_bytes OR n_bytes = 0")
+    cut_text = F.replace(F.make_valid_utf8(F.expr("CAST(kept AS STRING)")), F.lit("\ufffd"), F.lit(""))
+    text = F.when(F.col("n_removed") > 0, cut_text).otherwise(F.expr("CAST(kept AS STRING)"))
+    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

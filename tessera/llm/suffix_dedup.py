@@ -288,10 +288,11 @@ def _named(length: int):
     return run
 
 
-_KEPT = pa.schema([("id", pa.int64()), ("text", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+_PLACES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of id, text, spans and carried columns, with what is left of the text and the maximal spans."""
     for got in batches:
         data, offsets = B.view(got.column("text"))
         texts, found = [], []
@@ -312,7 +313,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = text[keep]
             texts.append(text.tobytes())
             found.append([{"start": s, "end": e} for s, e in merged])
-        yield pa.RecordBatch.from_arrays([got.column("id"), pa.array(texts, pa.binary()), pa.array(found, _KEPT.field("spans").type)], schema=_KEPT)
+        yield pa.RecordBatch.from_arrays([got.column("id"), pa.array(texts, pa.binary()), pa.array(found, _PLACES), *got.columns[3:]], names=got.schema.names)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -339,11 +340,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return whole.unionByName(refined).unionByName(later)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """Per row of ``docs``: the id, ``kept`` (remaining bytes), ``spans`` (maximal removed byte ranges) and ``n_bytes``."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: the id, ``kept`` (remaining bytes), ``spans`` (maximal removed byte ranges), ``n_bytes``, ``n_removed`` and the columns to ``carry``."""
     spans = repeated_spans(docs, id_col, text_col, length=length, hot=hot)
     per_doc = spans.distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    out = texts.join(per_doc, texts.id == per_doc.doc, "left").select("id", "text", "spans").mapInArrow(_cut_out, "id long, text binary, spans array<struct<start:long,end:long>>")
+    carried = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *carried)
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in texts.schema.fields[2:])
+    joined = texts.join(per_doc, texts.id == per_doc.doc, "left").select("id", "text", "spans", *texts.columns[2:])
+    out = joined.mapInArrow(_cut_out, f"id long, text binary, spans array<struct<start:long,end:long>>{kinds}")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s.end - s.start)
-    return out.select(F.col("id").alias(id_col), F.col("text").alias("kept"), "spans", (F.octet_length("text") + removed).cast("long").alias("n_bytes"), removed.alias("n_removed"))
+    return out.select(F.col("id").alias(id_col), F.col("text").alias("kept"), "spans", (F.octet_length("text") + removed).cast("long").alias("n_bytes"), removed.alias("n_removed"), *(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)))
