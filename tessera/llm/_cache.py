@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Slices a worker remembers; beyond it starts anew, which costs time only.
-ENTRIES = 700_000
+ENTRIES = 500_000
 
 
 class SliceCache:

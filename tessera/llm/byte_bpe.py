@@ -57,7 +57,7 @@ def _begins(state: int, kind: int) -> bool:
 
 @cache
 def _monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of the classes' functions, of their first-character forms, the composition table, and each function's value at the fresh state."""
+    """Ids of the classes' functions, of their first-character forms, the composition table, and every function's value by state."""
     own = [tuple(_after(s, k) for s in range(8)) for k in range(8)]
     forget = [(_after(_FRESH, k),) * 8 for k in range(8)]
     known = {f: i for i, f in enumerate(dict.fromkeys([*own, *forget]))}
@@ -70,8 +70,8 @@ def _monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
                     known[h] = len(known)
                     todo.append(h)
     every = list(known)
-    table = np.array([[known[tuple(g[x] for x in f)] for g in every] for f in every], np.int32)
-    return np.array([known[f] for f in own]), np.array([known[f] for f in forget]), table, np.array([f[_FRESH] for f in every])
+    table = np.array([[known[tuple(g[x] for x in f)] for g in every] for f in every], np.int16)
+    return np.array([known[f] for f in own]), np.array([known[f] for f in forget]), table, np.array(every, np.uint8).T
 
 
 def _scan(functions: np.ndarray, table: np.ndarray, width: int = 64) -> np.ndarray:
@@ -107,35 +107,49 @@ def _code_points() -> np.ndarray:
     return out
 
 
-def boundaries(points: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Which code points begin a token; ``first`` marks those that begin a document."""
-    n = len(points)
-    if not n:
-        return np.zeros(0, bool)
+#: Code points scanned together; the state goes on from one stretch to the next.
+STRETCH = 1 << 18
+
+
+def _classes(points: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """Classes of the first n code points, of which up to two more follow for looking ahead."""
     kind = _code_points()[points]
     white = kind >= 3
-    near = np.zeros(n, bool)  # the next code point is in the same document
+    near = np.zeros(len(points), bool)  # the next code point is there and in the same document
     near[:-1] = ~first[1:]
-    text_next = np.zeros(n, bool)
+    text_next = np.zeros(len(points), bool)
     text_next[:-1] = near[:-1] & ~white[1:]
-    classes = kind.astype(np.int64)
+    classes = kind.copy()
     classes[white] = np.where(text_next[white], np.where(kind[white] == 3, _JOIN, _BREAK), _GAP)
     quotes = np.flatnonzero((points == 0x27) & near)
     if len(quotes):
         after = np.append(points, [0, 0])
         a = after[quotes + 1]
         b = np.where(np.append(near, False)[quotes + 1], after[quotes + 2], 0)
-        one = np.isin(a, [ord(c) for c in "stmd"])
         two = ((a == ord("r")) & (b == ord("e"))) | ((a == ord("v")) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))
-        classes[quotes[one]] = _ONE
+        classes[quotes[np.isin(a, [ord(c) for c in "stmd"])]] = _ONE
         classes[quotes[two]] = _TWO
+    return classes[:n]
+
+
+def boundaries(points: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which code points begin a token; ``first`` marks those that begin a document."""
     own, forget, table, value = _monoid()
-    done = _scan(np.where(first, forget[classes], own[classes]).astype(np.int32), table)
-    state = np.zeros(n, np.int64)
-    state[1:] = value[done[:-1]]
-    state[first] = _FRESH
     rule = np.array([[_begins(s, k) for k in range(8)] for s in range(8)])
-    return rule[state, classes]
+    out = np.zeros(len(points), bool)
+    carried = _FRESH
+    for at in range(0, len(points), STRETCH):
+        n = min(STRETCH, len(points) - at)
+        starts = first[at : at + n]
+        classes = _classes(points[at : at + n + 2], first[at : at + n + 2], n)
+        done = _scan(np.where(starts, forget[classes], own[classes]).astype(np.int16), table)
+        state = np.empty(n, np.uint8)
+        state[0] = carried
+        state[1:] = value[carried][done[:-1]]
+        carried = int(value[carried][done[-1]])
+        state[starts] = _FRESH
+        out[at : at + n] = rule[state, classes]
+    return out
 
 
 def slices(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,6 +207,9 @@ def _vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(by_id), np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
+#: Bytes of text a worker looks at together; the arrays beside it take some forty times as much.
+_BATCH = 2 << 20
+
 _ENCODED = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("ends", pa.binary())])
 _DECODED = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
@@ -234,12 +251,23 @@ def _decode(path: str):
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ranks: str = os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")) -> DataFrame:
     """``(id, n_tokens, ids, ends)``: ids and the end of each token in the text's bytes, both little-endian unsigned 32-bit."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, _BATCH)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return texts.mapInArrow(_encode(ranks), "id long, n_tokens long, ids binary, ends binary")
 
 
 def decode(encoded: DataFrame, *, ranks: str = os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")) -> DataFrame:
     """``(id, n_tokens, ids, decoded)``: the bytes that the ids stand for."""
-    small_batches(encoded.sparkSession)
+    small_batches(encoded.sparkSession, _BATCH)
     return encoded.select("id", "n_tokens", "ids").mapInArrow(_decode(ranks), "id long, n_tokens long, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ranks: str = os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")) -> DataFrame:
+    """:func:`decode` of :func:`encode` in one worker: ``(id, n_tokens, ids, decoded)``."""
+    small_batches(docs.sparkSession, _BATCH)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _decode(ranks)(_encode(ranks)(batches))
+
+    return texts.mapInArrow(run, "id long, n_tokens long, ids binary, decoded binary")

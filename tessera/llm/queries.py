@@ -66,7 +66,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
+    decoded = byte_bpe.round_trip(table(spark, sf_dir, "documents"))
     return decoded.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
