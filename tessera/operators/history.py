@@ -13,7 +13,9 @@ def decay(age: Column, half_life: float) -> Column:
 
 
 def age_days(ts: str, now: str) -> Column:
-    return (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(ts)) / 86400.0
+    """Days, with fractions, from a column's time to ``now``."""
+    micros = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
+    return micros / 86400e6
 
 
 def churn(log: DataFrame, now: str, *, half_life: float = 14.0) -> DataFrame:

@@ -1 +1,3 @@
-"""Tessera plans."""
+"""Registered queries. Importing the package fills the registry."""
+
+from tessera.plans import history_queries, operations_queries, relation_queries, search_queries  # noqa: F401
