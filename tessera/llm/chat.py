@@ -21,7 +21,7 @@ gives no windows. Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUDGET = 1024
 HISTORY = 2
@@ -55,42 +55,57 @@ def windows(turns: DataFrame, *, budget: int = BUDGET, history: int = HISTORY) -
     ``repeated`` counts the turns at a window's start that earlier windows hold;
     ``loss`` has the mask's spans (code points, end exclusive).
     """
-    row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    by_conv = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
-
-    def ready(t: Column) -> Column:
-        head = F.concat(F.lit(OPEN), _role(t["role"]), F.lit("\n"))
-        body = escape(t["text"])
-        tokens = F.ceil(F.length(t["text"]) / CHARS).cast("int") + FRAME
-        return F.struct(F.concat(head, body, F.lit(CLOSE)).alias("block"), F.length(head).alias("head"), F.length(body).alias("body"), (t["role"] == "assistant").alias("target"), tokens.alias("tokens"))
-
-    # F.transform gives the element only; fields are read by name
-    made = by_conv.select("conv_id", F.transform("turns", ready).alias("t"), (F.col("turns")[0]["role"] == "system").alias("has_system"))
-    sums = F.aggregate("t", F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["tokens"])))
-    made = made.withColumn("p", sums).withColumn("n", F.size("t"))
-    system = F.when(F.col("has_system"), F.col("t")[0]["tokens"]).otherwise(0)
-    room = F.greatest(F.lit(1), F.lit(budget - budget // SHARE) - system)
-    # begins: indices at which a window begins; a turn begins one if the span from the last begin would exceed the room
-    begins = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.array(F.lit(0)), lambda acc, i: F.when((i > F.element_at(acc, -1)) & (F.element_at("p", i + 2) - F.element_at("p", F.element_at(acc, -1) + 1) > room), F.concat(acc, F.array(i))).otherwise(acc))
-    made = made.withColumn("begins", begins)
-    made = made.select("*", F.posexplode("begins").alias("window", "first"))
-    after = F.coalesce(F.get("begins", F.col("window") + 1), F.col("n"))
-    made = made.withColumn("after", after)
-    lead = F.when(F.col("has_system") & (F.col("first") > 0), 1).otherwise(0)
-    back = F.when(F.col("first") > 0, F.sequence(F.greatest(F.lit(0), F.col("first") - history), F.col("first") - 1)).otherwise(F.array().cast("array<int>"))
-    fits = F.filter(back, lambda i: (i >= lead) & (F.element_at("p", F.col("first") + 1) - F.element_at("p", i + 1) <= budget // SHARE))
-    made = made.withColumn("index", F.concat(F.when(lead == 1, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), fits, F.sequence(F.col("first"), F.col("after") - 1)))
-    made = made.withColumn("repeated", lead + F.size(fits))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("loss"))
-
-    def mark(acc: Column, i: Column) -> Column:
-        t = F.element_at("t", i + 1)
-        begin = acc["at"] + t["head"]
-        span = F.array(F.struct(begin.alias("start"), (begin + t["body"]).alias("end")))
-        loss = F.when(t["target"] & (i >= F.col("first")), F.concat(acc["loss"], span)).otherwise(acc["loss"])
-        return F.struct((acc["at"] + F.length(t["block"])).alias("at"), loss.alias("loss"))
-
-    return made.select("conv_id", "window", "repeated", F.array_join(F.transform("index", lambda i: F.element_at("t", i + 1)["block"]), "").alias("text"), F.aggregate("index", start, mark)["loss"].alias("loss"))
+    said, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    head = F.concat(F.lit(OPEN), _role(role), F.lit("\n"))
+    made = turns.select(
+        "conv_id",
+        F.struct("turn", role.alias("role"), said.alias("text")).alias("order"),
+        F.concat(head, escape(said), F.lit(CLOSE)).alias("block"),
+        F.length(head).alias("head"),
+        F.length(escape(said)).alias("body"),
+        (role == "assistant").alias("target"),
+        (role == "system").alias("system"),
+        (F.ceil(F.length(said) / CHARS) + FRAME).cast("long").alias("tokens"),
+    )
+    order = Window.partitionBy("conv_id").orderBy("order")
+    summed = made.withColumn("nth", F.row_number().over(order)).withColumn("sum", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # the same partitioning serves the grouping
+    t = F.sort_array(F.collect_list(F.struct("nth", "sum", "tokens", "block", "head", "body", "target", "system")))
+    convs = summed.groupBy("conv_id").agg(t.alias("t"), F.count("*").cast("int").alias("n"))
+    has_system = F.col("t")[0]["system"]
+    room = F.greatest(F.lit(1).cast("long"), F.lit(budget - budget // SHARE) - F.when(has_system, F.col("t")[0]["tokens"]).otherwise(0))
+
+    def before(i: Column) -> Column:
+        return F.get("t", i)["sum"] - F.get("t", i)["tokens"]
+
+    def begin(acc: Column, i: Column) -> Column:
+        newest = F.element_at(acc, -1)
+        return F.when((i > newest) & (F.get("t", i)["sum"] - before(newest) > room), F.concat(acc, F.array(i))).otherwise(acc)
+
+    convs = convs.select("conv_id", "t", "n", F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.array(F.lit(0)), begin).alias("begins"))
+
+    def bounds(first: Column, k: Column) -> Column:
+        lead = F.when(has_system & (first > 0), 1).otherwise(0)
+        low = F.greatest(lead, first - history)
+        back = F.when(low < first, F.sequence(low, first - 1)).otherwise(F.array().cast("array<int>"))
+        fits = F.size(F.filter(back, lambda i: before(first) - before(i) <= budget // SHARE))
+        return F.struct(k.alias("window"), lead.alias("lead"), fits.alias("fits"), (first - fits).alias("low"), F.coalesce(F.get("begins", k + 1), F.col("n")).alias("after"))
+
+    def parts(x: Column) -> Column:
+        # a window takes its own turns along, not the conversation
+        own = F.slice("t", x["low"] + 1, x["after"] - x["low"])
+        return F.struct(x["window"].alias("window"), (x["lead"] + x["fits"]).alias("repeated"), F.when(x["lead"] == 1, F.concat(F.slice("t", 1, 1), own)).otherwise(own).alias("own"))
+
+    rows = convs.select("conv_id", F.explode(F.transform(F.transform("begins", bounds), parts)).alias("w")).select("conv_id", "w.*")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("seen"), F.array().cast("array<struct<start:int,end:int>>").alias("loss"))
+
+    def mark(acc: Column, x: Column) -> Column:
+        begins = acc["at"] + x["head"]
+        span = F.array(F.struct(begins.alias("start"), (begins + x["body"]).alias("end")))
+        loss = F.when(x["target"] & (acc["seen"] >= F.col("repeated")), F.concat(acc["loss"], span)).otherwise(acc["loss"])
+        return F.struct((acc["at"] + F.length(x["block"])).alias("at"), (acc["seen"] + 1).alias("seen"), loss.alias("loss"))
+
+    return rows.select("conv_id", "window", "repeated", F.array_join(F.transform("own", lambda x: x["block"]), "").alias("text"), F.aggregate("own", start, mark)["loss"].alias("loss"))
 
 
 def read(formatted: DataFrame) -> DataFrame:
