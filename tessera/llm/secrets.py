@@ -42,7 +42,7 @@ LIMITS = {"hex": 3.0, "alnum": 3.6, "mixed": 3.9}
 ALLOWED = re.compile(r"[A-Za-z]+|[0-9]+|[_=+/-]+|(?:[A-Za-z]{1,20}[-_/+=]+)*[A-Za-z]{1,20}[-_/+=]*|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 ALLOWED_BEFORE = re.compile(r"(?:sha1|sha256|sha512|md5|integrity|https?:/|www\.)[:= \"'/-]*$", re.IGNORECASE)
 _CLASSES = (("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+")), ("alnum", re.compile(r"[0-9a-z]+|[0-9A-Z]+")))
-_TERM = [0.0, *(c * log2(c) for c in range(1, WINDOW + 1))]
+_TERM = [0.0, *(c * log2(c) for c in range(1, WINDOW + 2))]  # one more: a character enters before one leaves
 
 Span = tuple[str, int, int]
 
