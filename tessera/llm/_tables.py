@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 #: Bytes of an Arrow batch, so that long texts don't fill a worker.
-ARROW_BYTES = 4 << 20
+ARROW_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

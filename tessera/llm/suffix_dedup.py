@@ -45,9 +45,9 @@ GRAM = 16
 #: Contexts of a bucket that one task may hold (some 200 bytes each).
 HOT = 65_536
 #: Bytes of a text that are looked at together.
-PIECE = 1 << 19
+PIECE = 1 << 18
 #: Anchor rows combined before they leave a task.
-FLUSH = 500_000
+FLUSH = 250_000
 
 _ROWS = pa.schema([("fp", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()), ("packed", pa.int64())])
 _FOUND = pa.schema([("edge", pa.bool_()), ("fp", pa.int64()), ("doc", pa.int64()), ("packed", pa.int64())])
