@@ -1 +1 @@
-"""Tessera streaming."""
+"""Structured Streaming operators."""
