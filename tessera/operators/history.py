@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.operators.ranking import global_row_number
+
 LN2 = 0.6931471805599453
 
 
@@ -24,15 +26,11 @@ def churn(log: DataFrame, now: str, *, half_life: float = 14.0) -> DataFrame:
 
 
 def churn_rank(churned: DataFrame) -> DataFrame:
-    """Churn as a place from 0 to 1 (a single path: 1 if it has any), with a label.
-
-    Places are found on one row a path: a global order over paths, not commits.
-    """
-    order = Window.orderBy("churn", "path")
-    n = F.count("*").over(Window.partitionBy())
-    place = F.when(n == 1, (F.col("churn") > 0).cast("double")).otherwise((F.row_number().over(order) - 1) / (n - 1))
+    """Churn as a place from 0 to 1 (a single path: 1 if it has any; ties by path), with a label."""
+    ranked = global_row_number(churned, ["churn", "path"], "nth")
+    place = F.when(F.col("nth_of") == 1, (F.col("churn") > 0).cast("double")).otherwise((F.col("nth") - 1) / F.greatest(F.col("nth_of") - 1, F.lit(1)))
     label = F.when(place >= 0.8, "very high").when(place >= 0.6, "high").when(place >= 0.4, "medium").when(place >= 0.2, "low").otherwise("very low")
-    return churned.withColumn("place", F.round(place, 6)).withColumn("label", label)
+    return ranked.withColumn("place", F.round(place, 6)).withColumn("label", label).drop("nth", "nth_of")
 
 
 def ownership(log: DataFrame, *, top: int = 5) -> DataFrame:
@@ -58,7 +56,8 @@ def pairs(log: DataFrame, *, most_files: int = 50) -> DataFrame:
 def co_change(log: DataFrame, *, shared: int = 2, least: float = 0.15, most_files: int = 50) -> DataFrame:
     """Jaccard of commits for pairs of paths; large commits stay in the denominators."""
     counts = log.groupBy("path").agg(F.count_distinct("oid").alias("n"))
-    both = pairs(log, most_files=most_files).groupBy("a", "b").agg(F.count_distinct("oid").alias("shared")).where(F.col("shared") >= shared)
+    # a pair occurs once a commit
+    both = pairs(log, most_files=most_files).groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= shared)
     left, right = counts.select(F.col("path").alias("a"), F.col("n").alias("na")), counts.select(F.col("path").alias("b"), F.col("n").alias("nb"))
     out = both.join(left, "a").join(right, "b")
     return out.withColumn("jaccard", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6)).where(F.col("jaccard") >= least)
@@ -96,7 +95,7 @@ def advance(state: DataFrame, ledger_: DataFrame, incoming: DataFrame, outgoing:
     """
     scale = decay((F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.lit(before).cast("timestamp"))) / 86400.0, half_life)
     old = state.select("a", "b", "shared", (F.col("weight") * scale).alias("weight"), "last_ts")
-    delta = lambda rows, sign: rows.select("a", "b", F.lit(sign).cast("long").alias("shared"), (sign * F.col("base") * decay(age_days("ts", now), half_life)).alias("weight"), (F.col("ts") if sign > 0 else F.lit(None).cast("timestamp")).alias("last_ts"))
+    delta = lambda rows, sign: rows.select("a", "b", F.lit(sign).cast("long").alias("shared"), (sign * F.col("base") * decay(age_days("ts", now), half_life)).alias("weight"), (F.col("ts") if sign > 0 else F.lit(None).cast(rows.schema["ts"].dataType)).alias("last_ts"))
     summed = old.unionByName(delta(incoming, 1)).unionByName(delta(outgoing, -1)).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.sum("weight").alias("weight"), F.max("last_ts").alias("seen")).where("shared > 0")
     lost = outgoing.select("a", "b").distinct()
     left = ledger_.join(lost, ["a", "b"], "left_semi").join(outgoing.select("oid", "a", "b"), ["oid", "a", "b"], "left_anti").unionByName(incoming.join(lost, ["a", "b"], "left_semi"))
