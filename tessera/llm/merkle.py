@@ -84,7 +84,8 @@ def differing(a: Column, b: Column) -> Column:
 def _previous(ids: DataFrame) -> DataFrame:
     """``ids`` (id, tie, n) in order, each with the row before it; before the first stands the last."""
     parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = ids.repartitionByRange(parts, "id", "tie").withColumn("part", F.spark_partition_id())
+    # written, so that both uses see the same partitions
+    dealt = cut(ids.repartitionByRange(parts, "id", "tie").withColumn("part", F.spark_partition_id()), "ordered")
     whole = F.struct("id", "tie", "n")
     order = Window.partitionBy("part").orderBy("id", "tie")
     inside = dealt.withColumn("before", F.lag(whole).over(order))
