@@ -72,3 +72,8 @@ def links(candidates: DataFrame, targets: DataFrame, *, samples: int = 8) -> Dat
     some = named.distinct().withColumn("nth", F.row_number().over(order)).groupBy("target").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("nth") <= samples, F.col("path")))).alias("paths"))
     state = F.when(F.col("n").isNull(), "missing").when(F.col("n") == 1, "exact").otherwise("ambiguous")
     return candidates.join(some, "target", "left").select("unit", "target", state.alias("state"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.array_join(F.coalesce("paths", F.array().cast("array<string>")), ",").alias("paths"))
+
+
+def without_definitions(references: DataFrame, definitions: DataFrame, keys: list[str]) -> DataFrame:
+    """References that don't stand where a definition does."""
+    return references.join(definitions.select(*keys), keys, "left_anti")

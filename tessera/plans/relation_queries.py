@@ -108,3 +108,10 @@ def link_resolution(spark, d):
 def cross_project(spark, d):
     parts = [T.table(spark, d, t).select(F.lit(p).alias("project_id"), F.coalesce(F.col(c), F.lit("")).alias("content")) for p, t, c in (("docs", "documents", "text"), ("pages", "pages", "html"), ("benchmark", "benchmark", "text"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("project_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("bytes"))
+
+
+@query("definition_sites", "SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size = l_linenumber)")
+def definition_sites(spark, d):
+    references = T.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    definitions = T.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("l_linenumber"))
+    return R.without_definitions(references, definitions, ["l_partkey", "l_linenumber"]).select("l_orderkey", "l_partkey", "l_linenumber")
