@@ -13,8 +13,8 @@ ENTRIES = 500_000
 class SliceCache:
     """Remembers the ids of slices. ``encode`` turns a list of byte strings into lists of ids."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]) -> None:
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], entries: int = ENTRIES) -> None:
+        self.encode, self.entries = encode, entries
         self.clear()
 
     def clear(self) -> None:
@@ -36,7 +36,7 @@ class SliceCache:
 
     def __call__(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all slices, end to end, and how many each slice has."""
-        if len(self.place) > ENTRIES:
+        if len(self.place) > self.entries:
             self.clear()
         values, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         keys = values.tolist()

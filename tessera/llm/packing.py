@@ -38,6 +38,8 @@ from tessera.scratch import cut
 CAPACITY = 2048
 END = 0
 GROUP = 40_000
+#: Words a worker remembers.
+ENTRIES = 800_000
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
 
@@ -51,7 +53,7 @@ def _cached(path: str) -> SliceCache:
     def encode(pieces: list[bytes]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)]
 
-    return SliceCache(encode)
+    return SliceCache(encode, ENTRIES)
 
 
 _PART = np.zeros(256, bool)
