@@ -1,3 +1,3 @@
 """Registered queries. Importing the package fills the registry."""
 
-from tessera.plans import history_queries, operations_queries, relation_queries, resolution_queries, search_queries, view_queries  # noqa: F401
+from tessera.plans import history_queries, knowledge_queries, operations_queries, relation_queries, resolution_queries, search_queries, view_queries  # noqa: F401
