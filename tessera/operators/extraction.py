@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ast
 import json
+import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -98,33 +99,45 @@ def python_status(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, status string")
 
 
-def flatten(text: str | None, *, depth: int = 6, items: int = 20) -> list[tuple[str, str]]:
-    """Dotted keys and values of a JSON text, to a depth and a number of array items; damaged text gives none."""
+def _yaml(text: str):
+    import yaml  # not everywhere; sources of this format need it
+
+    return yaml.safe_load(text)
+
+
+PARSERS = {"json": lambda t: json.loads(t or "null"), "toml": tomllib.loads, "yaml": _yaml}
+
+
+def flatten(text: str | None, *, depth: int = 6, items: int = 20, language: str = "json") -> list[tuple[str, str]]:
+    """Dotted keys and values of a configuration text, to a depth and a number of array items; damaged text gives none."""
     out: list[tuple[str, str]] = []
 
     def walk(x, at: str, left: int) -> None:
         if isinstance(x, dict) and left:
             for k, v in x.items():
-                walk(v, f"{at}.{k}" if at else k, left - 1)
+                walk(v, f"{at}.{k}" if at else str(k), left - 1)
         elif isinstance(x, list) and left:
             for i, v in enumerate(x[:items]):
                 walk(v, f"{at}[{i}]", left - 1)
         elif at:
-            out.append((at, x if isinstance(x, str) else json.dumps(x)))
+            out.append((at, x if isinstance(x, str) else json.dumps(x, default=str)))
 
     try:
-        walk(json.loads(text or "null"), "", depth)
-    except (ValueError, RecursionError):
+        tree = PARSERS[language](text or "")
+        walk(tree, "", depth)
+    except ImportError:
+        raise
+    except Exception:  # each parser has errors of its own; a damaged file is no failed job
         return []
     return out
 
 
-def json_keys(files: DataFrame, id_col: str = "path", text_col: str = "content") -> DataFrame:
-    """A row for each dotted key of JSON texts."""
+def json_keys(files: DataFrame, id_col: str = "path", text_col: str = "content", *, language: str = "json") -> DataFrame:
+    """A row for each dotted key of JSON (or TOML, or YAML) texts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame([(i, k, v) for i, t in zip(f.iloc[:, 0], f.iloc[:, 1], strict=True) for k, v in flatten(t)], columns=["id", "key", "value"])
+            yield pd.DataFrame([(i, k, v) for i, t in zip(f.iloc[:, 0], f.iloc[:, 1], strict=True) for k, v in flatten(t, language=language)], columns=["id", "key", "value"])
 
     return files.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id string, key string, value string")
 
@@ -188,3 +201,44 @@ def structural(files: DataFrame, node: str, name: str | None = None) -> DataFram
             yield pd.DataFrame(rows, columns=["path", "first_line", "last_line", "code"])
 
     return files.select("path", "content").mapInPandas(run, "path string, first_line int, last_line int, code string")
+
+
+def python_aliases(files: DataFrame) -> DataFrame:
+    """Names that Python files import under others: path, alias, original."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for path, content in zip(f.path, f.content, strict=True):
+                try:
+                    tree = ast.parse(content or "")
+                except (SyntaxError, ValueError, RecursionError, MemoryError):
+                    continue
+                for x in ast.walk(tree):
+                    if isinstance(x, (ast.Import, ast.ImportFrom)):
+                        rows += [(path, a.asname, a.name) for a in x.names if a.asname and a.asname != a.name]
+            yield pd.DataFrame(rows, columns=["path", "alias", "original"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, alias string, original string")
+
+
+def workflow_facts(keys: DataFrame) -> DataFrame:
+    """Triggers, jobs, needs, matrices and steps of CI workflows from their dotted keys (id, key, value).
+
+    A file with ``on`` and ``jobs`` is a workflow. (YAML reads a bare ``on`` as true.)
+    """
+    top = F.lower(F.regexp_extract("key", r"^([^.\[]+)", 1))
+    is_on = top.isin("on", "true")
+    flows = keys.groupBy("id").agg(F.max(is_on).alias("_on"), F.max(top == "jobs").alias("_jobs")).where("_on AND _jobs").select("id")
+    job = F.regexp_extract("key", r"^jobs\.([^.\[]+)", 1)
+    rest = F.regexp_extract("key", r"^jobs\.[^.\[]+\.?(.*)$", 1)
+    trigger = F.regexp_extract("key", r"^[^.\[]+\.([^.\[]+)", 1)
+    named = F.when(trigger != "", trigger).otherwise(F.col("value"))
+    fact = (
+        F.when(is_on, F.struct(F.lit("trigger").alias("fact"), F.lit("").alias("job"), named.alias("value")))
+        .when((job != "") & rest.rlike(r"^needs(\[|$)"), F.struct(F.lit("needs").alias("fact"), job.alias("job"), F.col("value")))
+        .when((job != "") & rest.startswith("strategy.matrix."), F.struct(F.lit("matrix").alias("fact"), job.alias("job"), F.concat(F.regexp_extract(rest, r"^strategy\.matrix\.([^.\[]+)", 1), F.lit("="), F.col("value")).alias("value")))
+        .when((job != "") & rest.rlike(r"^steps\[\d+\]\.(uses|run|name)$"), F.struct(F.lit("step").alias("fact"), job.alias("job"), F.concat(F.regexp_extract(rest, r"\.(\w+)$", 1), F.lit("="), F.substring("value", 1, 160)).alias("value")))
+        .when(job != "", F.struct(F.lit("job").alias("fact"), job.alias("job"), job.alias("value")))
+    )
+    return keys.join(flows, "id", "left_semi").select("id", fact.alias("f")).where("f IS NOT NULL").select("id", "f.fact", "f.job", "f.value").distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
@@ -52,3 +53,27 @@ def decoded(files: DataFrame) -> DataFrame:
     """Content as text without a byte order mark; what isn't UTF-8 has null text."""
     bare = F.when(F.hex(F.substring("content", 1, 3)) == "EFBBBF", F.expr("substring(content, 4)")).otherwise(F.col("content"))
     return files.withColumn("text", F.when(F.is_valid_utf8(bare.cast("string")), bare.cast("string")))
+
+
+def promote(spark: SparkSession, root: str, path: str, marked: str, *, complete: bool, stable: bool) -> None:
+    """Makes a snapshot the current one of a folder, if it was read completely, its sources stood still and it holds its digest.
+
+    The pointer is a row of a table of promotions; the newest row that was fully
+    written counts, so a writer that dies leaves the one before.
+    """
+    if not (complete and stable):
+        raise Refused(f"{path} isn't {'complete' if not complete else 'stable'}")
+    if digest(spark.read.parquet(path)) != marked:
+        raise Refused(f"{path} doesn't hold the rows of its digest")
+    row = spark.createDataFrame([(path, marked)], "path string, digest string").withColumn("at", F.current_timestamp())
+    row.coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/promotions")
+
+
+def current(spark: SparkSession, root: str) -> str | None:
+    """The path of the newest promoted snapshot."""
+    schema = "path string, digest string, at timestamp"
+    try:
+        row = spark.read.schema(schema).parquet(f"{root.rstrip('/')}/promotions").agg(F.max_by("path", "at").alias("path")).first()
+    except AnalysisException:
+        return None
+    return row.path

@@ -55,3 +55,47 @@ def fenced(mutations: DataFrame, generations: DataFrame) -> DataFrame:
     """Mutations (path, generation) that aren't older than what is published for the path."""
     seen = generations.select("path", F.col("generation").alias("_published"))
     return mutations.join(seen, "path", "left").where(F.col("_published").isNull() | (F.col("generation") >= F.col("_published"))).drop("_published")
+
+
+def reconcile(known: DataFrame, disk: DataFrame) -> DataFrame:
+    """Changes (path, op) that make known files (path, size, modified) those on disk: the full scan after a gap in the events."""
+    a = known.select("path", F.struct("size", "modified").alias("_a"))
+    b = disk.select("path", F.struct("size", "modified").alias("_b"))
+    op = F.when(F.col("_a").isNull(), "add").when(F.col("_b").isNull(), "delete").when(F.col("_a") != F.col("_b"), "modify")
+    return a.join(b, "path", "full_outer").select("path", op.alias("op")).where("op IS NOT NULL")
+
+
+def stale(asked: DataFrame, known: DataFrame, disk: DataFrame) -> DataFrame:
+    """Of the paths asked for those that must be read anew before an answer; with a few asked, both sides are semi-joined first."""
+    few = asked.select("path").distinct()
+    return reconcile(known.join(few, "path", "left_semi"), disk.join(few, "path", "left_semi"))
+
+
+def changed_content(batch: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of a batch (path, hash) whose content isn't what is known."""
+    return batch.join(known.select("path", F.col("hash").alias("_known")), "path", "left").where(~F.col("hash").eqNullSafe(F.col("_known"))).drop("_known")
+
+
+def session_seen(seen: DataFrame, batch: DataFrame) -> DataFrame:
+    """What each session has fetched, (session, path, reads, tokens, last_ts), with a batch (session, path, tokens, ts) added."""
+    fresh = batch.groupBy("session", "path").agg(F.count("*").alias("reads"), F.sum("tokens").alias("tokens"), F.max("ts").alias("last_ts"))
+    both = seen.select("session", "path", "reads", "tokens", "last_ts").unionByName(fresh)
+    return both.groupBy("session", "path").agg(F.sum("reads").alias("reads"), F.sum("tokens").alias("tokens"), F.max("last_ts").alias("last_ts"))
+
+
+def session_summary(seen: DataFrame) -> DataFrame:
+    """Per session of :func:`session_seen`: reads, files, reads of files it had already, tokens and last time."""
+    return seen.groupBy("session").agg(F.sum("reads").alias("reads"), F.count("*").alias("files"), F.sum(F.col("reads") - 1).alias("hits"), F.sum("tokens").alias("tokens"), F.max("last_ts").alias("last_ts"))
+
+
+def bounded_queue(batch: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
+    """The first ``capacity`` events (ts, id) of a batch, and one row counting those taken and dropped."""
+    taken = batch.orderBy("ts", "id").limit(capacity)
+    counts = batch.agg(F.least(F.count("*"), F.lit(capacity).cast("long")).alias("taken"), F.greatest(F.count("*") - capacity, F.lit(0).cast("long")).alias("dropped"))
+    return taken, counts
+
+
+def unverified(entries: DataFrame, now: str, *, most_seconds: int = 900) -> DataFrame:
+    """Entries (path, verified_ts) that weren't verified within the last quarter of an hour, the longest first."""
+    age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("verified_ts")
+    return entries.withColumn("age", age).where(F.col("age").isNull() | (F.col("age") > most_seconds)).orderBy(F.col("age").desc_nulls_first(), "path")
