@@ -75,8 +75,8 @@ def succession(spark, d):
 def curation_preview(spark, d):
     parts = T.table(spark, d, "part")
     ledger = parts.select(F.col("p_partkey").cast("string").alias("path"), F.col("p_brand").alias("hash"), F.col("p_name").alias("value"))
-    asked = T.table(spark, d, "orders").where("o_orderkey < 2000").join(parts, F.col("o_orderkey") == F.col("p_partkey"), "left")
     key = F.col("o_orderkey")
+    asked = T.table(spark, d, "orders").join(parts, key % 2000 == F.col("p_partkey"), "left")
     edits = asked.select(F.concat(F.lit("k"), key.cast("string")).alias("key"), (key % 2000).cast("string").alias("path"), F.when(key % 4 == 0, "remove").otherwise("upsert").alias("op"), F.when(key % 3 == 0, "x").otherwise(F.col("p_brand")).alias("expected_hash"), F.lit("new").alias("value"))
     return K.curation_preview(ledger, edits).select("key", "path", "op", "outcome")
 
