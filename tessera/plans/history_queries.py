@@ -46,7 +46,7 @@ _PAIRS = "small AS (SELECT oid FROM log GROUP BY oid HAVING count(DISTINCT path)
 @query("co_change_jaccard", f"""{_LOG}, {_PAIRS.format(most=6)}, n AS (SELECT path, count(DISTINCT oid) AS n FROM log GROUP BY path), s AS (SELECT a, b, count(DISTINCT oid) AS shared FROM pairs GROUP BY a, b HAVING count(DISTINCT oid) >= 2)
 SELECT * FROM (SELECT s.a, s.b, shared, x.n AS na, y.n AS nb, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM s JOIN n x ON s.a = x.path JOIN n y ON s.b = y.path) WHERE jaccard >= 0.012""")
 def co_change_jaccard(spark, d):
-    return H.co_change(log(spark, d), least=0.012, most_files=6)
+    return H.co_change(log(spark, d), least=0.012)
 
 
 _JACCARD = f"""{_LOG}, {_PAIRS.format(most=50)}, n AS (SELECT path, count(DISTINCT oid) AS n FROM log GROUP BY path), s AS (SELECT a, b, count(DISTINCT oid) AS shared FROM pairs GROUP BY a, b HAVING count(DISTINCT oid) >= 2),
