@@ -13,10 +13,10 @@ from tessera.sources import tables as T
 _RANGES = "p AS (SELECT p_brand AS path, p_partkey AS pos FROM part WHERE p_partkey % 5 = 0), r AS (SELECT p_brand AS path, p_partkey AS \"start\", p_partkey + p_size * 4 AS \"end\", p_name AS name FROM part WHERE p_size % 3 = 0)"
 
 
-def _points_ranges(spark, d):
+def _points_ranges(spark, d, which="true"):
     parts = T.table(spark, d, "part")
-    points = parts.where("p_partkey % 5 = 0").select(F.col("p_brand").alias("path"), F.col("p_partkey").alias("pos"))
-    ranges = parts.where("p_size % 3 = 0").select(F.col("p_brand").alias("path"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size") * 4).alias("end"), F.col("p_name").alias("name"))
+    points = parts.select(F.col("p_brand").alias("path"), F.col("p_partkey").alias("pos"))
+    ranges = parts.where(which).select(F.col("p_brand").alias("path"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size") * 4).alias("end"), F.col("p_name").alias("name"))
     return points, ranges
 
 
@@ -27,7 +27,8 @@ def references_in_symbol(spark, d):
 
 @query("outside_test_modules", f'WITH {_RANGES} SELECT path, pos FROM p WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.path = p.path AND p.pos BETWEEN r."start" AND r."end")')
 def outside_test_modules(spark, d):
-    return N.outside(*_points_ranges(spark, d), ["path"], "pos")
+    # every symbol holds its own first place: the test modules among them are what points can lie outside of
+    return N.outside(*_points_ranges(spark, d, "p_size % 3 = 0"), ["path"], "pos")
 
 
 #: Each file imports the next one by stem and the one after that relatively, from its own folder.
@@ -183,6 +184,6 @@ def edit_impact(spark, d):
 SELECT DISTINCT oid, path, name FROM h JOIN s USING (path) WHERE h.f <= s.t AND s.f <= h.t""")
 def hunk_symbols(spark, d):
     parts = T.table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
-    hunks = T.table(spark, d, "lineitem").where("l_orderkey % 25 = 0").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    hunks = T.table(spark, d, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
     hunks = hunks.select(F.col("l_orderkey").alias("oid"), F.col("p_brand").alias("path"), F.col("p_partkey").alias("first"), (F.col("p_partkey") + F.col("l_linenumber") * 9).alias("last"))
     return N.hunk_symbols(hunks, parts.select(F.col("p_brand").alias("path"), F.col("p_partkey").alias("name"), F.col("p_partkey").alias("first"), (F.col("p_partkey") + F.col("p_size") * 3).alias("last")))

@@ -17,6 +17,11 @@ from test_oracles import DATA, TABLES, canonical
 
 EDGES = [" AND x.l_orderkey % 7 = 0"]
 CUTS = dict.fromkeys("call_graph top_in_degree blast_radius evict_dead graph_export_dot graph_export_mermaid impact_summary reexport_dependents type_dependencies unseen_callees gated_symbol_edges co_change_gate".split(), EDGES)
+CUTS |= {
+    "hunk_symbols": [" WHERE l_orderkey % 25 = 0"],
+    "references_in_symbol": [" WHERE p_partkey % 5 = 0", " WHERE p_size % 3 = 0"],
+    "outside_test_modules": [" WHERE p_partkey % 5 = 0"],
+}
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
