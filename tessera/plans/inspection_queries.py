@@ -19,7 +19,7 @@ def symbols(spark, d):
 
 
 def points(spark, d):
-    return T.table(spark, d, "part").where("p_partkey % 3 = 0").select(F.col("p_brand").alias("path"), (F.col("p_partkey") + 5).alias("line_no"))
+    return T.table(spark, d, "part").select(F.col("p_brand").alias("path"), (F.col("p_partkey") + 5).alias("line_no"))
 
 
 @query("enclosing_symbol", f"""WITH {_PLACES} SELECT pt.path, pt.line_no, s.name AS symbol, s.depth AS symbol_depth FROM pt LEFT JOIN sym s ON s.path = pt.path AND pt.line_no BETWEEN s."start" AND s."end" QUALIFY row_number() OVER (PARTITION BY pt.path, pt.line_no ORDER BY s.depth DESC, s."start" DESC, s.name DESC) = 1""")

@@ -22,6 +22,7 @@ CUTS |= {
     "references_in_symbol": [" WHERE p_partkey % 5 = 0", " WHERE p_size % 3 = 0"],
     "outside_test_modules": [" WHERE p_partkey % 5 = 0"],
 }
+CUTS |= dict.fromkeys(["inspect_match", "enclosing_symbol", "hits_by_symbol"], [" WHERE p_partkey % 3 = 0"]) | {"innermost_symbol": [" WHERE p_partkey % 5 = 0"]}
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
