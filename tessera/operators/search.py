@@ -130,9 +130,11 @@ def path_resolve(files: DataFrame, query: str) -> DataFrame:
 
 
 def trigrams(text: Column) -> Column:
-    """Different grams of three characters of a lower-cased text."""
-    low = F.lower(text)
-    return F.when(F.length(low) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: low.substr(i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    """Different grams of three characters of a lower-cased text; characters are cut apart once, so that a text's cost grows with its length."""
+    chars = F.split(F.lower(text), "")
+    joined = lambda a, b: F.concat(a, b)
+    grams = F.zip_with(F.zip_with(chars, F.slice(chars, 2, F.size(chars)), joined), F.slice(chars, 3, F.size(chars)), joined)
+    return F.when(F.length(text) >= 3, F.array_distinct(F.filter(grams, lambda g: g.isNotNull()))).otherwise(F.array().cast("array<string>"))
 
 
 def trigram_search(grams: DataFrame, units: DataFrame, query: str) -> DataFrame:

@@ -66,6 +66,14 @@ def trigram_update(spark, d):
     return I.update_grams(grams, changed, units.where("id % 10 = 2")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
+@query("trigram_update_texts")
+def trigram_update_texts(spark, d):
+    units = T.files(spark, d).select(F.col("doc_id").alias("id"), F.col("content").alias("text"))
+    grams = units.select(F.explode(S.trigrams(F.col("text"))).alias("gram"), "id")
+    changed = units.where("id % 10 = 1").withColumn("text", F.concat(F.lit("new text "), "text"))
+    return I.update_grams(grams, changed, units.where("id % 10 = 2")).groupBy("gram").agg(F.count("*").alias("n"))
+
+
 @query("rename_preview", rf"""{_LINES} SELECT path, line_no, len(regexp_extract_all(line, '\btoken\b')) AS sites, regexp_replace(line, '\btoken\b', 'mark', 'g') AS after FROM lines WHERE regexp_matches(line, '\btoken\b')""")
 def rename_preview(spark, d):
     return I.rename_preview(T.lines(T.files(spark, d)), "token", "mark").select("path", "line_no", "sites", "after")

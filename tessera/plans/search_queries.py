@@ -119,6 +119,13 @@ def trigram_search(spark, d):
     return S.trigram_search(grams, units, "l bolt")
 
 
+@query("trigram_search_texts", "SELECT doc_id AS id, text FROM documents WHERE contains(lower(text), 'license')")
+def trigram_search_texts(spark, d):
+    units = T.files(spark, d).select(F.col("doc_id").alias("id"), F.col("content").alias("text"))
+    grams = units.select("id", F.explode(S.trigrams(F.col("text"))).alias("gram"))
+    return S.trigram_search(grams, units, "license")
+
+
 @query("rank_fusion", """WITH t AS (SELECT p_partkey, CASE WHEN p_name = 'red bolt' THEN 1000 WHEN ends_with(p_name, 'bolt') THEN 100 WHEN starts_with(p_name, 'red') THEN 50 ELSE 10 END AS path_match, p_retailprice FROM part)
 SELECT p_partkey, round(CAST(0.6 AS DOUBLE) * path_match / 1000 + CAST(0.4 AS DOUBLE) * p_retailprice / max(p_retailprice) OVER (), 6) AS score FROM t ORDER BY score DESC, p_partkey LIMIT 30""")
 def rank_fusion(spark, d):
