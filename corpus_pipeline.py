@@ -29,9 +29,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by five-word shingles at 0.8 or more."""
+    """The document with the smallest id of each group linked by five-word shingles at 0.8 or more; those without an id all stay."""
     kept = near_duplicates(docs, shingle=5, similarity=(4, 5)).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    named = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return named.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))  # null equals no id in the join
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
