@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 K = 3
 GAP = 3
 COVERED = 0.6
+MASK = 63
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,6 +53,8 @@ def templates(spark: SparkSession, phrases: dict[str, str] = PHRASES, passages:
     rows = []
     for number, (text, label) in enumerate([*phrases.items(), *passages.items()]):
         words = text.split()
+        if len(words) < K:
+            raise ValueError(f"a template takes at least {K} words, not {text!r}")
         grams = [" ".join(words[i : i + K]) for i in range(len(words) - K + 1)]
         rows += [(number, label, text in phrases, len(grams), i, g) for i, g in enumerate(grams)]
     rows.append((-1, "", False, 1, 0, ""))  # every text votes for this one once, so that none is lost
@@ -71,14 +74,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, phr
     votes = every.withColumn("hash", F.xxhash64("gram")).join(known, ["hash", "gram"]).withColumn("place", F.col("place") - 1)
     votes = votes.withColumn("diagonal", F.when(F.col("template") >= 0, F.col("place") - F.col("at")).otherwise(0))
     keys = ["row", "id", "n_words", "template", "label", "phrase", "grams"]
-    lines = votes.groupBy(*keys, "diagonal").agg(F.count("*").alias("votes"), F.bit_or(F.when(F.col("grams") <= 63, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at"))).otherwise(F.lit(0).cast("long"))).alias("seen"))
+    # places of a template that were voted for, as bits of as many words as the longest one takes
+    masks = range(max((len(t.split()) - K for t in [*phrases, *passages]), default=0) // MASK + 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at") % MASK)
+    seen = [F.bit_or(F.when(F.floor(F.col("at") / MASK) == m, bit).otherwise(F.lit(0).cast("long"))).alias(f"seen{m}") for m in masks]
+    lines = votes.groupBy(*keys, "diagonal").agg(F.count("*").alias("votes"), *seen)
 
     beside = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(beside) > GAP, F.lit(True))
     spans = lines.withColumn("span", F.sum(apart.cast("int")).over(beside))
     whole = F.col("phrase") & (F.col("votes") == F.col("grams"))
     spans = spans.groupBy(*keys, "span").agg(
-        F.bit_count(F.bit_or("seen")).alias("covered"),
+        sum((F.bit_count(F.bit_or(f"seen{m}")) for m in masks[1:]), F.bit_count(F.bit_or("seen0"))).alias("covered"),
         F.sum(whole.cast("long")).alias("places"),
         F.min(F.when(whole, F.col("diagonal"))).cast("long").alias("first_word"),
         F.max(F.when(whole, F.col("diagonal"))).cast("long").alias("last_word"),
