@@ -2,8 +2,9 @@
 
 A table is written once as Parquet under ``spark.checkpoint.dir``, the folder
 that driver and executors share, and read back. Unlike a local checkpoint it
-survives the loss of any executor. Where the setting is absent (tests on one
-machine) a folder below the system's temporary folder is set.
+survives the loss of any executor. Where the setting is absent, a local master
+(tests on one machine) gets a folder below the system's temporary folder; on a
+cluster that is an error, since executors don't share such folders.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+#: Bytes of a row group of these tables.
+ROW_GROUP = 8 << 20
 _written: list[tuple[object, str]] = []
 
 
@@ -22,6 +25,8 @@ def root(spark: SparkSession) -> str:
     """The shared folder; set only where the session names none."""
     at = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not at:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError(f"{_KEY} must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set(_KEY, at)
     return at.rstrip("/")
@@ -37,7 +42,8 @@ def cut(df: DataFrame, label: str = "table", compact: bool = False) -> DataFrame
     path = f"{root(spark)}/tessera/{label}-{uuid.uuid4().hex}"
     if compact:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, 2))
-    df.write.option("compression", "zstd").parquet(path)
+    # small row groups: what a writer holds back counts for each running task
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
