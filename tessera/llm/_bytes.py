@@ -6,6 +6,8 @@ a whole batch at once, so no Python object is made per word.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -17,13 +19,9 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_SEGMENT = 1 << 20
-
-
-def _byte_values() -> np.ndarray:
-    x = np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
-    return mix(x)
+#: Slices longer than this are hashed one by one; there are few.
+LONG = 4096
+_KEEP = np.array([(1 << (8 * i)) - 1 for i in range(8)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,29 +34,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-VALUES = _byte_values()
-
-
-class Powers:
-    """Powers of an odd base modulo 2**64 and their inverses, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            inverse = pow(_BASE, -1, 1 << 64)
-            for name, base in (("up", _BASE), ("down", inverse)):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up, self.down
-
-
-POWERS = Powers()
-
-
 def view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, end to end, and n + 1 offsets into them (null: empty)."""
     if isinstance(column, pa.ChunkedArray):
@@ -76,25 +51,50 @@ def view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each slice of ``data``; starts ascend and slices don't overlap.
+def octets(data: np.ndarray) -> np.ndarray:
+    """At each place the eight bytes from there on as one number (zeros beyond the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,))
+
+
+def slices_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each slice of ``data``; slices may overlap.
 
-    Prefix sums of a polynomial modulo 2**64, taken over segments that begin at
-    a slice, so the tables of powers stay small however long a text is.
+    Eight bytes at a time are added to a state that is mixed after each step, so
+    unlike a polynomial modulo 2**64 no text makes it collide by its structure.
     """
-    out = np.empty(len(starts), np.uint64)
-    i, n = 0, len(starts)
-    while i < n:
-        j = int(np.searchsorted(starts, starts[i] + _SEGMENT))
-        a, b = int(starts[i]), int(ends[j - 1])
-        up, down = POWERS(b - a + 1)
-        sums = np.empty(b - a + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(VALUES[data[a:b]] * up[: b - a], out=sums[1:])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        out[i:j] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
-        i = j
-    return mix(out)
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & (2**64 - 1)))
+    words = octets(data)
+    usual = np.flatnonzero(size <= LONG)
+    for step in range(int(size[usual].max(initial=0)) // 8):
+        usual = usual[size[usual] >= 8 * step + 8]
+        out[usual] = mix(out[usual] * np.uint64(0xD1342543DE82EF95) + words[starts[usual] + 8 * step])
+    rest = size & 7
+    tail = np.flatnonzero((size <= LONG) & (rest > 0))
+    rest = rest[tail]
+    out[tail] = mix(out[tail] * np.uint64(0xD1342543DE82EF95) + (words[ends[tail] - rest] & _KEEP[rest]))
+    for i in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=seed.to_bytes(8, "little"))
+        out[i] = int.from_bytes(digest.digest(), "little")
+    return out
+
+
+def same_slices(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which slices of the given sizes, at places ``a`` and at ``b``, are equal byte for byte."""
+    out = np.ones(len(size), bool)
+    words = octets(data)
+    at = np.flatnonzero((size <= LONG) & (a != b))
+    for step in range(int(size[at].max(initial=0)) // 8):
+        at = at[size[at] >= 8 * step + 8]
+        out[at] &= words[a[at] + 8 * step] == words[b[at] + 8 * step]
+    rest = size & 7
+    at = np.flatnonzero((size <= LONG) & (rest > 0) & (a != b))
+    whole, rest = size[at] - rest[at], rest[at]
+    out[at] &= ((words[a[at] + whole] ^ words[b[at] + whole]) & _KEEP[rest]) == 0
+    for i in np.flatnonzero((size > LONG) & (a != b)).tolist():
+        out[i] = np.array_equal(data[a[i] : a[i] + size[i]], data[b[i] : b[i] + size[i]])
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray, wordless: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -9,20 +9,24 @@ Documents of a batch are scanned together: a first character's function forgets
 the state.
 
 Merging. Equal slices of a batch are merged once, and a worker remembers them.
+Long slices are merged by a heap over linked parts, in n log n steps.
 
 Offsets. The end of each token in the text's bytes is kept beside its id, so a
 span of tokens decodes and aligns without decoding the rest.
 
 Nulls, ties, repeats: a null or empty text has no tokens. Rows come back one for
-one, with their id as it is (null too). Extra columns are ignored. A text of any
-length is one row; its tokens are found in the same vectorised pass.
+one, with their id as it is (null too). Extra columns are ignored; an empty table
+gives an empty result. A text of any length is one row; it is looked at in
+stretches of about ``SPAN`` bytes that begin where a token must (a space before a
+character that is none), so only a single word can make a stretch longer.
 """
 
 from __future__ import annotations
 
 import base64
-import os
+import heapq
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -34,8 +38,6 @@ from tessera.llm import _bytes as B
 from tessera.llm._cache import SliceCache, gather
 from tessera.llm._tables import small_batches
 
-TOKENIZERS = "/opt/tokenizers"
-
 # Classes of characters.
 _LETTER, _NUMBER, _OTHER, _ONE, _TWO, _GAP, _JOIN, _BREAK = range(8)
 # States: what the token so far is.
@@ -163,6 +165,15 @@ def slices(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def _path(given: str | None) -> str:
+    """Where the ranks are: the given file, or the public vocabulary, found on the machine that asks."""
+    if given is None:
+        import public_tokenizers
+
+        return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return given
+
+
 @cache
 def _ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -174,6 +185,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
+    if len(piece) > _HEAP:
+        return _merge_long(piece, ranks)
     parts = [piece[i : i + 1] for i in range(len(piece))]
     pairs = [ranks.get(a + b, 1 << 30) for a, b in zip(parts, parts[1:], strict=False)]
     while pairs:
@@ -190,6 +203,44 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+#: Bytes from which a slice is merged by a heap.
+_HEAP = 200
+
+
+def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same as :func:`merge`, for slices of any length."""
+    n, none = len(piece), 1 << 30
+    after, before = array("l", range(1, n + 1)), array("l", range(-1, n - 1))  # parts by their start
+    pair = array("l", [ranks.get(piece[i : i + 2], none) if i + 1 < n else none for i in range(n)])
+    heap = [(r << 32) | i for i, r in enumerate(pair) if r != none]
+    heapq.heapify(heap)
+
+    def renew(i: int) -> None:
+        middle = after[i]
+        pair[i] = r = ranks.get(piece[i : after[middle]], none) if middle < n else none
+        if r != none:
+            heapq.heappush(heap, (r << 32) | i)
+
+    while heap:
+        top = heapq.heappop(heap)
+        i = top & 0xFFFFFFFF
+        if pair[i] != top >> 32:
+            continue  # one of the two was joined with another
+        gone = after[i]
+        after[i] = after[gone]
+        pair[gone] = none
+        if after[i] < n:
+            before[after[i]] = i
+        renew(i)
+        if before[i] >= 0:
+            renew(before[i])
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[piece[i : after[i]]])
+        i = after[i]
+    return out
+
+
 @cache
 def _cached(path: str) -> SliceCache:
     ranks = _ranks(path)
@@ -221,24 +272,60 @@ def _pieces(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.array([raw[a * width : b * width] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
 
 
-def _encode(path: str):
+#: Bytes of a stretch of a long text.
+SPAN = 1 << 20
+
+
+def stretches(data: np.ndarray, offsets: np.ndarray) -> list[int]:
+    """Places at which a batch may be cut: a token begins there whatever stands before."""
+    out = [0]
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        if a - out[-1] >= SPAN:
+            out.append(a)
+        while b - out[-1] > 2 * SPAN:
+            at = max(out[-1], a) + SPAN
+            while at < b:
+                text = data[at : min(at + 65_536, b)]
+                # a space before a letter or digit (ASCII)
+                found = np.flatnonzero((text[:-1] == 0x20) & _PLAIN[text[1:]])
+                if len(found):
+                    out.append(at + int(found[0]))
+                    break
+                at += 65_535
+            else:
+                break
+    return [*out, len(data)]
+
+
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
+
+def _encode(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, (_, _, lengths) = _cached(path), _vocabulary(path)
+        tokens, (_, _, lengths) = _cached(_path(path)), _vocabulary(_path(path))
         for got in batches:
             data, offsets = B.view(got.column("text"))
-            starts, ends, first = slices(data, offsets)
-            ids, n = tokens(data, B.slices_hash(data, starts, ends), starts, ends)
-            at = np.concatenate([[0], np.cumsum(n)])[first]
-            stops = np.cumsum(lengths[ids])
+            found, stops = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+            cuts = stretches(data, offsets)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                inner = offsets[(offsets > a) & (offsets < b)] - a
+                part = data[a:b]
+                starts, ends, _ = slices(part, np.array([0, *inner, b - a]))
+                ids, _ = tokens(part, B.slices_hash(part, starts, ends), starts, ends)
+                found.append(ids)
+                stops.append(a + np.cumsum(lengths[ids]))
+            ids, stop = np.concatenate(found), np.concatenate(stops)
+            at = np.searchsorted(stop, offsets, side="right")
             base = np.repeat(offsets[:-1], np.diff(at))
-            yield pa.RecordBatch.from_arrays([got.column("id"), pa.array(np.diff(at)), _pieces(ids.astype("<u4"), at), _pieces((stops - base).astype("<u4"), at)], schema=_ENCODED)
+            yield pa.RecordBatch.from_arrays([got.column("id"), pa.array(np.diff(at)), _pieces(ids.astype("<u4"), at), _pieces((stop - base).astype("<u4"), at)], schema=_ENCODED)
 
     return run
 
 
-def _decode(path: str):
+def _decode(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, place, lengths = _vocabulary(path)
+        flat, place, lengths = _vocabulary(_path(path))
         for got in batches:
             raw, offsets = B.view(got.column("ids"))
             ids = np.frombuffer(raw.tobytes(), "<u4")
@@ -249,20 +336,20 @@ def _decode(path: str):
     return run
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ranks: str = os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ranks: str | None = None) -> DataFrame:
     """``(id, n_tokens, ids, ends)``: ids and the end of each token in the text's bytes, both little-endian unsigned 32-bit."""
     small_batches(docs.sparkSession, _BATCH)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return texts.mapInArrow(_encode(ranks), "id long, n_tokens long, ids binary, ends binary")
 
 
-def decode(encoded: DataFrame, *, ranks: str = os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")) -> DataFrame:
+def decode(encoded: DataFrame, *, ranks: str | None = None) -> DataFrame:
     """``(id, n_tokens, ids, decoded)``: the bytes that the ids stand for."""
     small_batches(encoded.sparkSession, _BATCH)
     return encoded.select("id", "n_tokens", "ids").mapInArrow(_decode(ranks), "id long, n_tokens long, ids binary, decoded binary")
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ranks: str = os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")) -> DataFrame:
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ranks: str | None = None) -> DataFrame:
     """:func:`decode` of :func:`encode` in one worker: ``(id, n_tokens, ids, decoded)``."""
     small_batches(docs.sparkSession, _BATCH)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

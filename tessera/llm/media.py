@@ -5,10 +5,12 @@ averages exact areas through an integral image, so its cost doesn't depend on
 the scale. A tile is the resized image as NPY bytes; the difference hash
 compares neighbouring cells of a 9 x 8 grey tile (64 bits, hexadecimal).
 
-Any bytes can be carried by an image without loss: ``to_ppm`` pads them to whole
-rows of a 64 pixel wide RGB image and ``from_ppm`` reads them back.
+Any bytes can be carried by an image without loss: ``to_ppm`` makes them the
+samples of an RGB image 64 pixels wide and ``from_ppm`` reads them back. Stored
+texts are such images; reading back also takes them through BMP and says whether
+both forms hold the same samples.
 
-One pass, no shuffle; memory is that of a batch and of one image.
+One pass, no shuffle; memory is that of a batch and a few times one image's bytes.
 
 Nulls, ties, repeats: a null text is empty (one row of blanks). A null, damaged
 or unknown image has null width, height, channels, tile and hash and keeps its row.
@@ -32,6 +34,8 @@ from tessera.llm._tables import small_batches, widened
 
 ROW = 192  # bytes in a row of 64 RGB pixels
 TILE = 16
+#: Image rows that are summed at once.
+STRIP = 4096
 
 
 def _fields(raw: bytes, n: int) -> tuple[list[int], int]:
@@ -120,17 +124,30 @@ def decode_image(raw: bytes | None) -> np.ndarray | None:
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean of the exact area under each target cell, by an integral image."""
     h, w, channels = image.shape
-    sums = np.zeros((h + 1, w + 1, channels), np.float64)
-    np.cumsum(np.cumsum(image, 0, dtype=np.float64), 1, out=sums[1:, 1:])
 
-    def cut(table: np.ndarray, n: int, size: int) -> np.ndarray:
+    def edges(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         edge = np.arange(n + 1) * size / n
         low = np.minimum(edge.astype(np.int64), size - 1)
-        part = (edge - low).reshape(-1, *[1] * (table.ndim - 1))
+        return low, edge - low
+
+    low, part = edges(height, h)
+    needed = np.unique([low, low + 1])
+    # the integral image's lines at the cells' edges; the rest of it is never held
+    sums = np.zeros((len(needed), w + 1, channels), np.float64)
+    above = np.zeros((w, channels), np.float64)
+    for a in range(0, h, STRIP):
+        lines = np.cumsum(image[a : a + STRIP], 0, dtype=np.float64)
+        here = (needed > a) & (needed <= a + len(lines))
+        sums[here, 1:] = above + lines[needed[here] - a - 1]
+        above += lines[-1]
+    np.cumsum(sums, 1, out=sums)
+
+    def cut(table: np.ndarray, low: np.ndarray, part: np.ndarray) -> np.ndarray:
+        part = part.reshape(-1, *[1] * (table.ndim - 1))
         return np.diff(table[low] * (1 - part) + table[low + 1] * part, axis=0)
 
-    rows = cut(sums, height, h)
-    cells = cut(rows.swapaxes(0, 1), width, w).swapaxes(0, 1)
+    rows = cut(sums, np.searchsorted(needed, low), part)
+    cells = cut(rows.swapaxes(0, 1), *edges(width, w)).swapaxes(0, 1)
     return np.floor(cells / (h * w / (height * width)) + 0.5).astype(np.uint8)
 
 
@@ -180,7 +197,7 @@ def describe(images: DataFrame, media_col: str = "media", *, tile: int = TILE) -
     return images.mapInArrow(run, schema)
 
 
-_CARRIED = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("tile_sha256", pa.string())])
+_CARRIED = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("tile", pa.binary()), ("bmp_bytes", pa.int64()), ("forms_agree", pa.bool_())])
 
 
 def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +206,8 @@ def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, media, n in zip(*(got.column(c).to_pylist() for c in ("id", "media", "n_bytes")), strict=True):
             image = decode_netpbm(media)
             payload = image.tobytes()
-            tile = npy(resize(image, TILE, TILE))
-            rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), hashlib.sha256(tile).hexdigest()))
+            bitmap = encode_bmp(image)
+            rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), npy(resize(image, TILE, TILE)), len(bitmap), np.array_equal(decode_bmp(bitmap), image)))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_CARRIED)], schema=_CARRIED)
 
 
@@ -212,5 +229,6 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """What the stored images hold: payload, checksums, difference hash and the digest of the NPY tile."""
-    return media.select("id", "n_bytes", "media").mapInArrow(_carry, ", ".join(f"{f.name} {'long' if pa.types.is_integer(f.type) else 'string'}" for f in _CARRIED))
+    """What the stored images hold: payload, checksums, difference hash (feature), NPY tile, and whether BMP holds the same."""
+    kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary", pa.bool_(): "boolean"}
+    return media.select("id", "n_bytes", "media").mapInArrow(_carry, ", ".join(f"{f.name} {kinds[f.type]}" for f in _CARRIED))

@@ -40,14 +40,17 @@ END = 0
 GROUP = 40_000
 #: Words a worker remembers.
 ENTRIES = 800_000
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
 
 @cache
-def _cached(path: str) -> SliceCache:
+def _cached(path: str | None) -> SliceCache:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
+    if path is None:  # the public vocabulary, found on the machine that asks
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
 
     def encode(pieces: list[bytes]) -> list[list[int]]:
@@ -78,7 +81,7 @@ def word_slices(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 _PIECES = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
 
-def _tokenize(path: str, capacity: int, end: int):
+def _tokenize(path: str | None, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _cached(path)
         for got in batches:
@@ -151,7 +154,7 @@ def _pack(capacity: int, schema: pa.Schema, round_: int):
     return run
 
 
-def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """``(id, piece, start, length, ids)``: pieces of at most ``capacity`` tokens (little-endian unsigned 32-bit)."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

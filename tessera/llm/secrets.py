@@ -13,15 +13,17 @@ a pattern span is left out.
 One pass over the texts, no shuffle; memory is that of a batch.
 
 Nulls, ties, repeats: a null or empty text has no spans. Rows come back one for
-one with all their columns;
-those named like a new column are replaced. Spans of one kind don't overlap; of one start, kinds
-come in the order of ``KINDS``. Very long texts are scanned whole.
+one with all their columns, ids as they are (null, repeated); columns named like
+a new one are replaced. Spans of one kind don't overlap; of one start, kinds come
+in the order of ``KINDS``. An empty table gives an empty result. Very long texts
+are scanned whole, in time that grows with their length.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from math import log2
 
@@ -78,8 +80,16 @@ def entropy_runs(candidate: str, limit: float) -> list[tuple[int, int]]:
 
 
 def entropy_spans(text: str, taken: list[Span]) -> list[Span]:
-    """Spans of high entropy that touch none of ``taken``."""
+    """Spans of high entropy that touch none of ``taken``, which come by start."""
     out = []
+    begins: list[int] = []  # of the stretches that ``taken`` covers, which lie apart
+    stops: list[int] = []
+    for _, s, e in taken:
+        if stops and s <= stops[-1]:
+            stops[-1] = max(stops[-1], e)
+        else:
+            begins.append(s)
+            stops.append(e)
     for m in CANDIDATE.finditer(text):
         word = m[0]
         if ALLOWED.fullmatch(word) or ALLOWED_BEFORE.search(text, max(0, m.start() - 16), m.start()):
@@ -87,7 +97,8 @@ def entropy_spans(text: str, taken: list[Span]) -> list[Span]:
         kind = next((k for k, p in _CLASSES if p.fullmatch(word)), "mixed")
         for a, b in entropy_runs(word, LIMITS[kind]):
             a, b = a + m.start(), b + m.start()
-            if not any(a < e and s < b for _, s, e in taken):
+            last = bisect_left(begins, b) - 1  # the last stretch that begins before this span ends
+            if last < 0 or stops[last] <= a:
                 out.append(("entropy", a, b))
     return out
 

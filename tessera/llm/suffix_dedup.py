@@ -22,10 +22,17 @@ cross documents and are judged on the input.
 Buckets above ``hot`` contexts are not gathered: their windows are named by 128
 bits of hash, and a partially aggregated minimum finds the first of each name.
 
+What is exact. Refinement compares bytes. Contexts count as equal when 128 bits
+of hash are (64 of the owner's gram, 64 of all their bytes, in an order-sensitive
+mixing hash that no structure of a text makes collide); the same holds for the
+names of windows in large buckets.
+
 Nulls, ties, repeats: a null text is empty. Rows without an id neither lose
 bytes nor make others lose any. Rows that share an id count as one document: the
 same start in the same id is no earlier start. Empty tables give empty results.
-Extra columns are ignored.
+Extra columns are ignored, but for those asked to be carried. A very long text is
+looked at in overlapping pieces of ``PIECE`` bytes, and its repeats are removed
+in one task. ``length`` may be 2 to 65,536; others are an error.
 """
 
 from __future__ import annotations
@@ -42,13 +49,16 @@ from tessera.scratch import cut
 
 LENGTH = 100
 GRAM = 16
-#: Contexts of a bucket that one task may hold (some 200 bytes each).
-HOT = 65_536
+#: Contexts of a bucket that one task may hold (some 150 bytes each, of which refinement takes some sixty times as much).
+HOT = 8_192
 #: Bytes of a text that are looked at together.
 PIECE = 1 << 18
 #: Anchor rows combined before they leave a task.
 FLUSH = 250_000
 
+#: Bits below a packed start, and those of a packed count when shifted down.
+_START, _COUNT = 18, (1 << 17) - 1
+
 _ROWS = pa.schema([("fp", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()), ("packed", pa.int64())])
 _FOUND = pa.schema([("edge", pa.bool_()), ("fp", pa.int64()), ("doc", pa.int64()), ("packed", pa.int64())])
 _SPANS = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
@@ -56,20 +66,29 @@ _SPANS = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64
 
 def _pack(start: np.ndarray, count: np.ndarray, whole: bool) -> np.ndarray:
     """Start of a row's first window, number of its windows, and whether it is a finished span."""
-    return (start << 9) | (count << 1) | int(whole)
+    return (start << _START) | (count << 1) | int(whole)
 
 
 def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return packed >> 9, (packed >> 1) & 255, (packed & 1).astype(bool)
+    return packed >> _START, (packed >> 1) & _COUNT, (packed & 1).astype(bool)
+
+
+def _grams(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the ``gram`` (at most 16) bytes from each place on that has as many."""
+    n = len(data) - gram + 1
+    words = B.octets(data)
+    if gram < 8:
+        return B.mix((words[:n] & np.uint64((1 << (8 * gram)) - 1)) + np.uint64(gram))
+    first = words[:n] * np.uint64(0x9E3779B97F4A7C15)
+    first ^= first >> np.uint64(32)
+    first += words[gram - 8 : gram - 8 + n]  # the last eight, which may overlap the first
+    first *= np.uint64(0xD1342543DE82EF95)
+    return B.mix(first)
 
 
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Rows of one piece of text: first window, number of windows, hash of the owner's q-gram and of the context."""
-    n = len(data)
-    up, down = B.POWERS(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(B.VALUES[data] * up[:n], out=sums[1:])
-    grams = B.mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
+    grams = _grams(data, gram)
     places = np.arange(len(grams), dtype=np.uint64)
     low = (grams & ~np.uint64(0xFFFFF)) | places
     width, reach = length - gram + 1, 1
@@ -83,7 +102,7 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     first, count = at[:-1], np.diff(at)
     end = first + count - 1 + length
     offset = (owner[first] - first).astype(np.uint64)
-    context = B.mix((sums[end] - sums[first]) * down[first] + (offset << np.uint64(32)) + count.astype(np.uint64))
+    context = B.mix(B.slices_hash(data, first, end) + (offset << np.uint64(32)) + count.astype(np.uint64))
     return first, count, grams[owner[first]], context
 
 
@@ -189,7 +208,7 @@ def _contexts(length: int):
             data, offsets = B.view(got.column("text"))
             for doc, a, b, edges in zip(got.column("id").to_pylist(), offsets[:-1], offsets[1:], got.column("edges").to_pylist(), strict=True):
                 for e in edges:
-                    start, count = e["packed"] >> 9, (e["packed"] >> 1) & 255
+                    start, count = e["packed"] >> _START, (e["packed"] >> 1) & _COUNT
                     piece = data[a + start : min(b, a + start + count - 1 + length)]
                     if len(piece) == count - 1 + length:  # else it is of another row with the same id
                         fps.append(e["fp"])
@@ -207,32 +226,34 @@ def refine(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple
     Singletons may be missing. Windows stay inside the strings that ``offsets`` bounds.
     """
     n = len(data)
-    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)  # bytes to the string's end
-    ids = np.zeros(n, np.int64)
+    assert n < 2**31, "a bucket is bounded by HOT"
+    ends = np.repeat(offsets[1:].astype(np.int32), np.diff(offsets))
+    left = ends - np.arange(n, dtype=np.int32)  # bytes to the string's end
     step = min(8, length)
-    gram = np.zeros(n, np.uint64)
-    for i in range(step):
-        gram[: n - i] |= data[i:].astype(np.uint64) << np.uint64(8 * (7 - i))
-    alive = np.flatnonzero(left >= step)
-    values, back, counts = np.unique(gram[alive], return_inverse=True, return_counts=True)
-    ids[:] = -1
+    alive = np.flatnonzero(left >= step).astype(np.int32)
+    gram = B.octets(data)[alive] & np.uint64((1 << (8 * step)) - 1)
+    _, back, counts = np.unique(gram, return_inverse=True, return_counts=True)
+    del gram
+    ids = np.full(n, -1, np.int32)
     ids[alive] = back
     alone = np.zeros(n, bool)
     alone[alive] = counts[back] == 1
     while step < length:
         shift = min(step, length - step)
-        ok = alive[(left[alive] >= step + shift) & ~alone[alive]]
+        alive = alive[left[alive] >= step + shift]
+        ok = alive[~alone[alive]]
         # a suffix whose bucket is alone stays alone; one whose later offset is alone is found alone here
         pair = ids[ok] * np.int64(n + 1) + ids[ok + shift]
         _, back, counts = np.unique(pair, return_inverse=True, return_counts=True)
-        fresh = np.full(n, -1, np.int64)
+        del pair
+        fresh = np.full(n, -1, np.int32)
         # identifiers of suffixes that are alone stay distinct from all others
-        lonely = alive[alone[alive] & (left[alive] >= step + shift)]
+        lonely = alive[alone[alive]]
         fresh[ok] = back
         fresh[lonely] = len(counts) + np.arange(len(lonely))
         alone[ok] = counts[back] == 1
-        ids, alive, step = fresh, np.flatnonzero(fresh >= 0), step + shift
-    alive = alive[~alone[alive]]
+        ids, step = fresh, step + shift
+    alive = alive[~alone[alive]].astype(np.int64)
     return alive, ids[alive]
 
 
@@ -276,13 +297,7 @@ def _named(length: int):
             counts = np.maximum(np.diff(offsets) - length + 1, 0)
             row = np.repeat(np.arange(len(doc)), counts)
             place = offsets[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            halves = []
-            for table in (data, data[::-1]):
-                up, down = B.POWERS(len(data) + 1)
-                sums = np.zeros(len(data) + 1, np.uint64)
-                np.cumsum(B.VALUES[table] * up[: len(data)], out=sums[1:])
-                at = place if table is data else len(data) - place - length
-                halves.append(B.mix((sums[at + length] - sums[at]) * down[at]).view(np.int64))
+            halves = [B.slices_hash(data, place, place + length, seed).view(np.int64) for seed in (1, 2)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*halves, doc[row], start[row] + place - offsets[row])], schema=_NAMES)
 
     return run
@@ -318,6 +333,8 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """``(doc, start, end)``: byte ranges that repeat an earlier string; they may overlap."""
+    if not 2 <= length <= 65_536:
+        raise ValueError(f"length must be 2 to 65,536, not {length}")
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     gram = min(GRAM, max(1, length // 2))
@@ -325,7 +342,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = rows.repartition("fp").sortWithinPartitions("fp", "ctx", "doc", "packed")
     found = cut(dealt.mapInArrow(_repeats(length), "edge boolean, fp long, doc long, packed long"), "repeats")
 
-    start, count = F.shiftright("packed", 9), F.shiftright("packed", 1).bitwiseAND(F.lit(255))
+    start, count = F.shiftright("packed", _START), F.shiftright("packed", 1).bitwiseAND(F.lit(_COUNT))
     whole = found.where("NOT edge").select("doc", start.alias("start"), (start + count - 1 + length).alias("end"))
 
     edges = found.where("edge").groupBy("doc").agg(F.collect_list(F.struct("fp", "packed")).alias("edges"))
