@@ -9,14 +9,18 @@ equal lanes, corrected for lanes that agree by chance:
     J = (P - 2**-b) / (1 - 2**-b),   P = equal lanes / lanes
 
 Pairs whose estimate comes within ``MARGIN`` standard deviations of the
-threshold join documents into families; inside a family every pair is decided
-on the full sets, by integers, so estimates and buckets never make a link.
+threshold join documents into families; inside a family links are decided on the
+full sets, by integers, so estimates and buckets never make a link.
 
 Scale. Copies with the same set are one representative before anything is
-paired (a partially aggregated minimum). Buckets and families above ``BLOCK``
-members are dealt out as pairs of blocks, so no task holds an unbounded group,
-and a task gives out a star per component instead of all pairs. Links, families
-and components stay distributed tables.
+paired (a partially aggregated minimum). Buckets above ``BLOCK`` members are
+dealt out as pairs of blocks, so no task holds an unbounded group, and a task
+gives out a forest of close pairs instead of all pairs. In a family of more than
+two ``FAMILY_BLOCK`` members the forest's pairs are confirmed first (a hub's
+pairs are salted); then only members outside the family's main component are
+compared with the family, in blocks, so a family of near copies of one text
+costs in proportion to its size. Links, families and components stay distributed
+tables.
 
 Recall. The rows of a band are chosen so that a pair exactly at the threshold
 misses all bands with a probability below 1e-6.
@@ -24,7 +28,9 @@ misses all bands with a probability below 1e-6.
 Nulls, ties, repeats: a null or empty text (or one without words) has the empty
 set and is linked with nothing. A row without an id is kept as its own
 component (null). Rows that share an id are one node; each row comes back.
-Empty tables give empty results. Extra columns are ignored.
+Empty tables give empty results. Extra columns are ignored. A very long text is
+one row, its set one array of eight bytes a shingle. Shingles are told apart by
+64-bit hashes, equal sets by 128 bits.
 """
 
 from __future__ import annotations
@@ -45,6 +51,7 @@ LANES = 128
 BITS = 4
 MARGIN = 5.0
 BLOCK = 512
+FAMILY_BLOCK = 128
 _SIGNATURE = LANES * BITS // 64
 
 _rng = np.random.default_rng(20240229)
@@ -143,7 +150,13 @@ def _shingle_rows(k: int):
 
 def _stars(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For links between rows a and b: each row that isn't its component's first, and that first row's id."""
-    label = np.arange(len(ids))
+    away, label = _labels(len(ids), a, b)
+    return ids[away], ids[label[away]]
+
+
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that aren't their component's first under links a to b, and every row's component (its first row)."""
+    label = np.arange(n)
     while len(a):
         low = np.minimum(label[a], label[b])
         before = label.copy()
@@ -152,8 +165,32 @@ def _stars(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
         label = label[label]
         if (label == before).all() and (label[a] == label[b]).all():
             break
-    away = np.flatnonzero(label != np.arange(len(ids)))
-    return ids[away], ids[label[away]]
+    return np.flatnonzero(label != np.arange(n)), label
+
+
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of rows (a < b, below n) enough to connect what all of them connect: each row's first partner, then what is missing."""
+    order = np.lexsort((a, b))
+    a, b = a[order], b[order]
+    first = np.ones(len(b), bool)
+    first[1:] = b[1:] != b[:-1]
+    kept_a, kept_b = a[first], b[first]
+    _, label = _labels(n, kept_a, kept_b)
+    apart = label[a] != label[b]
+    parent = dict[int, int]()
+
+    def find(x: int) -> int:
+        while x in parent:
+            x = parent[x]
+        return x
+
+    more = []
+    for k in np.flatnonzero(apart).tolist():
+        x, y = find(int(label[a[k]])), find(int(label[b[k]]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            more.append(k)
+    return np.concatenate([kept_a, a[more]]), np.concatenate([kept_b, b[more]])
 
 
 def _pairs(sizes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +205,7 @@ def _pairs(sizes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _close(lanes: int):
-    """Stars of the documents that come close inside each bucket."""
+    """A forest of the documents that come close inside each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, ["key", "i", "j"]):
@@ -186,8 +223,8 @@ def _close(lanes: int):
                     near = np.flatnonzero(equal_lanes(packed[s + r], packed[s + r + 1 : s + m]) >= lanes)
                     if len(near):
                         found.append((np.full(len(near), s + r), s + r + 1 + near))
-            u, v = _stars(ids, np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=_STARS)
+            u, v = _forest(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]), len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[v]), pa.array(ids[u])], schema=_STARS)
 
     return run
 
@@ -213,11 +250,11 @@ def _shared(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _confirm(num: int, den: int):
-    """Stars of the documents linked on full sets inside each family or pair of blocks."""
+    """Stars of the documents linked on full sets inside each family or pair of blocks; links have an open document at one end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, ["family", "i", "j"]):
-            family, i, j, ids = (rows[c].to_numpy() for c in ("family", "i", "j", "id"))
+            family, i, j, ids, open_ = (rows[c].to_numpy() for c in ("family", "i", "j", "id", "open"))
             column = rows["shingles"].combine_chunks()
             values = column.flatten().to_numpy()
             lengths = np.diff(column.offsets.to_numpy())
@@ -231,7 +268,7 @@ def _confirm(num: int, den: int):
                 both = _shared(values[begin[s] : begin[e]], n)
                 x, y = np.triu_indices(e - s, 1)
                 common = both[x, y]
-                linked = (den * common >= num * (n[x] + n[y] - common)) & (n[x] > 0) & (n[y] > 0)
+                linked = (open_[s:e][x] | open_[s:e][y]) & (den * common >= num * (n[x] + n[y] - common)) & (n[x] > 0) & (n[y] > 0)
                 u, v = _stars(ids[s:e], x[linked], y[linked])
                 us.append(u)
                 vs.append(v)
@@ -256,6 +293,35 @@ def _blocks(rows: DataFrame, key: str) -> DataFrame:
     return rows.where(~same).withColumn("i", F.when(one, 0).otherwise(F.least("_own", "_other"))).withColumn("j", F.when(one, 0).otherwise(F.greatest("_own", "_other"))).drop("_n", "_blocks", "_own", "_other")
 
 
+def _large(sets: DataFrame, members: DataFrame, close: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """For large families: links among the close pairs, and the groups in which the members these leave open meet all others.
+
+    ``sets`` is (id, shingles), ``members`` (family, id, n), ``close`` pairs (u, v).
+    """
+    pairs = close.join(members.select(F.col("id").alias("u")), "u")
+    hubs = pairs.groupBy("v").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("salts"))
+    left = pairs.join(hubs, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int").alias("salt"))
+    left = left.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("x")), "u")
+    right = hubs.select("v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    right = right.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("y")), "v")
+    common = F.size(F.array_intersect("x", "y"))
+    linked = left.join(right, ["v", "salt"]).where(den * common >= num * (F.size("x") + F.size("y") - common))
+    confirmed = cut(linked.select("u", "v").distinct(), "confirmed", compact=True)
+
+    parts = connected_components(confirmed)
+    named = members.join(parts, members.id == parts.node, "left").select("family", "id", "n", F.coalesce("component", "id").alias("part"))
+    counts = named.groupBy("family", "part").agg(F.count("*").alias("size"))
+    main = counts.groupBy("family").agg(F.max_by("part", F.struct("size", "part")).alias("main"), (F.sum("size") - F.max("size")).alias("open_members"))
+    named = named.join(main.where("open_members > 0"), "family").withColumn("open", F.col("part") != F.col("main"))
+    blocks, open_blocks = (F.ceil(F.col(c) / FAMILY_BLOCK).cast("int") for c in ("n", "open_members"))
+    named = named.withColumn("blocks", blocks).withColumn("open_blocks", open_blocks)
+    own = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    one_side = named.where("open").select("family", own("open_blocks").alias("i"), every("blocks").alias("j"), "id", "open")
+    other = named.select("family", every("open_blocks").alias("i"), own("blocks").alias("j"), "id", "open")
+    return confirmed, one_side.unionByName(other).distinct().join(sets, "id").select("family", "i", "j", "id", "open", "shingles")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links), kept.
 
@@ -276,12 +342,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = reps.select(F.col("rep").alias("id"), "signature", F.explode("bands").alias("key"))
     buckets = _blocks(members, "key").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
     close = buckets.select("key", "i", "j", "id", "signature").mapInArrow(_close(lanes), "u long, v long")
+    close = cut(close.distinct(), "close", compact=True)
     families = cut(connected_components(close).select(F.col("node").alias("id"), F.col("component").alias("family")), "families", compact=True)
-
-    sets = texts.join(families, "id").select("id", "text", "family")
-    shingled = sets.select("id", "text").mapInArrow(_shingle_rows(shingle), "id long, shingles array<long>").join(families, "id")
-    dealt = _blocks(shingled, "family").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "id")
-    links = dealt.select("family", "i", "j", "id", "shingles").mapInArrow(_confirm(num, den), "u long, v long")
+    sizes = families.groupBy("family").agg(F.count("*").alias("n"))
+    large = families.join(sizes.where(F.col("n") > 2 * FAMILY_BLOCK), "family")
+
+    def sets(members: DataFrame) -> DataFrame:
+        named = texts.join(members.select("id"), "id").select("id", "text")
+        return named.mapInArrow(_shingle_rows(shingle), "id long, shingles array<long>")
+
+    usual = families.join(sizes.where(F.col("n") <= 2 * FAMILY_BLOCK).select("family"), "family", "left_semi")
+    dealt = sets(usual).join(usual, "id").select("family", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", F.lit(True).alias("open"), "shingles")
+    confirmed = None
+    if not large.isEmpty():
+        held = cut(sets(large), "sets")
+        confirmed, more = _large(held, large, close, num, den)
+        dealt = dealt.unionByName(more)
+    dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "id")
+    links = dealt.mapInArrow(_confirm(num, den), "u long, v long")
+    if confirmed is not None:
+        links = links.unionByName(confirmed)
     components = connected_components(links)
 
     found = reps.join(components, reps.rep == components.node, "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
