@@ -306,29 +306,40 @@ def _named(length: int):
 _PLACES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of id, text, spans and carried columns, with what is left of the text and the maximal spans."""
-    for got in batches:
-        data, offsets = B.view(got.column("text"))
-        texts, found = [], []
-        for a, b, spans in zip(offsets[:-1], offsets[1:], got.column("spans").to_pylist(), strict=True):
-            text, merged = data[a:b], []
-            for s in sorted((x["start"], x["end"]) for x in spans or ()):
-                s = (s[0], min(s[1], len(text)))
-                if s[0] >= s[1]:
-                    continue
-                if merged and s[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s[1])
-                else:
-                    merged.append([*s])
-            if merged:
-                keep = np.ones(len(text), bool)
-                for s, e in merged:
-                    keep[s:e] = False
-                text = text[keep]
-            texts.append(text.tobytes())
-            found.append([{"start": s, "end": e} for s, e in merged])
-        yield pa.RecordBatch.from_arrays([got.column("id"), pa.array(texts, pa.binary()), pa.array(found, _PLACES), *got.columns[3:]], names=got.schema.names)
+def _cut_out(characters: bool):
+    """Rows of id, text, spans and carried columns, with what is left of the text, the maximal spans and the text's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            data, offsets = B.view(got.column("text"))
+            texts, found = [], []
+            for a, b, spans in zip(offsets[:-1], offsets[1:], got.column("spans").to_pylist(), strict=True):
+                text, merged = data[a:b], []
+                for s in sorted((x["start"], x["end"]) for x in spans or ()):
+                    s = (s[0], min(s[1], len(text)))
+                    if s[0] >= s[1]:
+                        continue
+                    if merged and s[0] <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], s[1])
+                    else:
+                        merged.append([*s])
+                if merged:
+                    keep = np.ones(len(text), bool)
+                    for s, e in merged:
+                        keep[s:e] = False
+                        if characters:  # what is left of a character that an edge cuts goes too
+                            while s > 0 and (text[s] & 0xC0) == 0x80:
+                                s -= 1
+                                keep[s] = False
+                            while e < len(text) and (text[e] & 0xC0) == 0x80:
+                                keep[e] = False
+                                e += 1
+                    text = text[keep]
+                texts.append(text.tobytes())
+                found.append([{"start": s, "end": e} for s, e in merged])
+            yield pa.RecordBatch.from_arrays([got.column("id"), pa.array(texts, pa.binary()), pa.array(found, _PLACES), pa.array(np.diff(offsets)), *got.columns[3:]], names=["id", "text", "spans", "n_bytes", *got.schema.names[3:]])
+
+    return run
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -357,14 +368,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return whole.unionByName(refined).unionByName(later)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of ``docs``: the id, ``kept`` (remaining bytes), ``spans`` (maximal removed byte ranges), ``n_bytes``, ``n_removed`` and the columns to ``carry``."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, hot: int = HOT, carry: tuple[str, ...] = (), characters: bool = False) -> DataFrame:
+    """Per row of ``docs``: the id, ``kept`` (remaining bytes), ``spans`` (maximal removed byte ranges), ``n_bytes``, ``n_removed`` and the columns to ``carry``.
+
+    With ``characters``, ``kept`` also leaves out what remains of characters of
+    which a byte is removed, so it is UTF-8; spans and counts stay as they are.
+    """
     spans = repeated_spans(docs, id_col, text_col, length=length, hot=hot)
     per_doc = spans.distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     carried = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *carried)
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in texts.schema.fields[2:])
     joined = texts.join(per_doc, texts.id == per_doc.doc, "left").select("id", "text", "spans", *texts.columns[2:])
-    out = joined.mapInArrow(_cut_out, f"id long, text binary, spans array<struct<start:long,end:long>>{kinds}")
+    out = joined.mapInArrow(_cut_out(characters), f"id long, text binary, spans array<struct<start:long,end:long>>, n_bytes long{kinds}")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s.end - s.start)
-    return out.select(F.col("id").alias(id_col), F.col("text").alias("kept"), "spans", (F.octet_length("text") + removed).cast("long").alias("n_bytes"), removed.alias("n_removed"), *(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)))
+    return out.select(F.col("id").alias(id_col), F.col("text").alias("kept"), "spans", "n_bytes", removed.alias("n_removed"), *(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)))
