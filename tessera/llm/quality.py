@@ -17,9 +17,14 @@ Labels of a document that occurs repeatedly are averaged. Rows whose crc32 of
 the id (as text) is divisible by 5 are held out. Labels, ids, language and
 source are never inputs of a score.
 
+Projections and cosines are taken between whole numbers (``GRID`` steps to one),
+whose products and sums are exact, so a score depends on its text alone and not
+on the rows that are scored beside it.
+
 Nulls, ties, repeats: a null, empty or wordless text has no vector and scores 0.
 A null label teaches nothing; a null id can't be held out (false) and still gets
-a score. Equal texts get equal scores. Without usable labels every text with
+a score. Equal texts get equal scores. A very long text is counted whole, in one
+task; an empty table gives an empty result. Without usable labels every text with
 words scores 1 (nothing is rejected). Extra columns are ignored.
 """
 
@@ -46,6 +51,8 @@ WORD_WEIGHT = 0.3
 RANK = 48
 NEIGHBOURS = 25
 BLOCK = 256
+#: Steps to one: sums of products stay below 2**24, so single precision holds them exactly.
+GRID = 2048
 THRESHOLD = 0.3
 
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -86,6 +93,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
+def _grid(x: np.ndarray) -> np.ndarray:
+    return np.rint(x * np.float32(GRID)).astype(np.float32)
+
+
 @dataclass(frozen=True)
 class Model:
     """What scoring needs: idf, the projection, the labelled vectors and their labels."""
@@ -102,16 +113,18 @@ class Model:
         idf[:WORD_TERMS] *= WORD_WEIGHT
         weighted = _unit(np.log1p(term_counts) * idf)
         _, vectors = np.linalg.eigh(weighted.T @ weighted)
-        basis = np.ascontiguousarray(vectors[:, ::-1][:, :RANK], np.float32)
-        return cls(idf, basis, _unit(weighted @ basis), labels.astype(np.float32))
+        basis = _grid(np.ascontiguousarray(vectors[:, ::-1][:, :RANK], np.float32))
+        return cls(idf, basis, _grid(_unit(_grid(weighted) @ basis)), labels.astype(np.float32))
+
+    def vectors_of(self, term_counts: np.ndarray) -> np.ndarray:
+        return _grid(_unit(_grid(_unit(np.log1p(term_counts) * self.idf)) @ self.basis))
 
     def score(self, term_counts: np.ndarray) -> np.ndarray:
         out = np.zeros(len(term_counts))
         k = min(NEIGHBOURS, len(self.labels))
         for i in range(0, len(term_counts), BLOCK):
             block = term_counts[i : i + BLOCK]
-            vectors = _unit(_unit(np.log1p(block) * self.idf) @ self.basis)
-            near = vectors @ self.vectors.T
+            near = self.vectors_of(block) @ self.vectors.T / np.float32(GRID * GRID)
             best = np.argpartition(-near, k - 1, axis=1)[:, :k]
             weight = np.maximum(np.take_along_axis(near, best, 1), 0).astype(np.float64)
             total = weight.sum(1)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import byte_bpe, chat, licenses, media, merkle, packing, quality, secrets
+from tessera.llm import byte_bpe, chat, licenses, media, merkle, oracles, packing, quality, secrets
 from tessera.llm._tables import table
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.suffix_dedup import remove_repeats
@@ -72,5 +72,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_chat_windows, op3_suffix_dedup, op4_best_fit_packing, op5_secret_scan, op6_merkle_fingerprints, op7_quality_neighbours, op8_license_scan, op9_media_columns, op10_byte_bpe)}
 
-#: None of these can be put in SQL; each is tested against a brute-force version in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+#: The others can't be put in SQL; each is tested against a brute-force version in tests/llm.
+ORACLE_SQL: dict[str, str] = {"op1_minhash_near_dedup": oracles.NEAR_DEDUP, "op2_chat_windows": oracles.CHAT, "op3_suffix_dedup": oracles.REPEATS}
