@@ -18,7 +18,7 @@ from tessera.llm import packing, quality, secrets
 from tessera.llm._tables import table
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.suffix_dedup import remove_repeats
-from tessera.scratch import cut
+from tessera.scratch import cut, fewer_files
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -43,7 +43,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     kept = near_duplicates(docs, shingle=5, similarity=(4, 5)).where("kept").select("doc_id").distinct()
     named = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
-    return named.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))  # null equals no id in the join
+    return fewer_files(named.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS)))  # null equals no id in the join
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     out = remove_repeats(docs, length=100, carry=("lang", "source", "n_chars"), characters=True).where("octet_length(kept) > 0 OR n_bytes = 0")
     text = F.expr("CAST(kept AS STRING)")
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return fewer_files(out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     whatever their id. An empty table gives no pieces.
     """
     pieces = packing.tokenize(docs).select("id", "piece", "start", "length", F.crc32("ids").alias("crc"))
-    return packing.pack(pieces).select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
+    return fewer_files(packing.pack(pieces)).select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -32,6 +32,17 @@ def root(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def fewer_files(df: DataFrame) -> DataFrame:
+    """``df``, which lies behind a shuffle, in at most four partitions a core if there are no more than 64 a core now.
+
+    So a write makes few files (a local file system starts a process for each),
+    and a task takes at most sixteen shuffle partitions, one after another.
+    """
+    spark = df.sparkSession
+    cores = max(spark.sparkContext.defaultParallelism, 2)
+    return df.coalesce(4 * cores) if int(spark.conf.get("spark.sql.shuffle.partitions")) <= 64 * cores else df
+
+
 def cut(df: DataFrame, label: str = "table", compact: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read back, so later jobs start from the files.
 
