@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm import _bytes as B
 from tessera.llm._tables import group_starts, runs, small_batches
-from tessera.scratch import cut
+from tessera.scratch import cut, fewer_files
 
 LENGTH = 100
 GRAM = 16
@@ -351,13 +351,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gram = min(GRAM, max(1, length // 2))
     rows = texts.mapInArrow(_anchor_rows(length, gram), "fp long, ctx long, doc long, packed long")
     dealt = rows.repartition("fp").sortWithinPartitions("fp", "ctx", "doc", "packed")
-    found = cut(dealt.mapInArrow(_repeats(length), "edge boolean, fp long, doc long, packed long"), "repeats")
+    found = cut(fewer_files(dealt.mapInArrow(_repeats(length), "edge boolean, fp long, doc long, packed long")), "repeats")
 
     start, count = F.shiftright("packed", _START), F.shiftright("packed", 1).bitwiseAND(F.lit(_COUNT))
     whole = found.where("NOT edge").select("doc", start.alias("start"), (start + count - 1 + length).alias("end"))
 
     edges = found.where("edge").groupBy("doc").agg(F.collect_list(F.struct("fp", "packed")).alias("edges"))
-    contexts = cut(texts.join(edges, texts.id == edges.doc).select("id", "text", "edges").mapInArrow(_contexts(length), "fp long, doc long, start long, bytes binary"), "contexts")
+    contexts = texts.join(edges, texts.id == edges.doc).select("id", "text", "edges").mapInArrow(_contexts(length), "fp long, doc long, start long, bytes binary")
+    contexts = cut(fewer_files(contexts), "contexts")
     large = contexts.groupBy("fp").count().where(F.col("count") > hot).select("fp")
     usual = contexts.join(large, "fp", "left_anti").repartition("fp").sortWithinPartitions("fp", "doc", "start")
     refined = usual.select("fp", "doc", "start", "bytes").mapInArrow(_refined(length), "doc long, start long, end long")
