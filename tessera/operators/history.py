@@ -48,7 +48,10 @@ def latest(log: DataFrame) -> DataFrame:
 
 def pairs(log: DataFrame, *, most_files: int = 50) -> DataFrame:
     """(oid, a, b) with a < b for paths of one commit; commits of more than ``most_files`` make none, so a commit's pairs are bounded."""
-    small = log.select("oid", "path").distinct().groupBy("oid").agg(F.array_sort(F.collect_set("path")).alias("paths")).where(F.size("paths").between(2, most_files))
+    rows = log.select("oid", "path").distinct()
+    # large commits go before anything of them is gathered
+    fit = rows.groupBy("oid").agg(F.count("*").alias("n")).where(F.col("n").between(2, most_files)).select("oid")
+    small = rows.join(fit, "oid", "left_semi").groupBy("oid").agg(F.array_sort(F.collect_set("path")).alias("paths"))
     opened = small.select("oid", "paths", F.posexplode("paths").alias("at", "a"))
     return opened.select("oid", "a", F.explode(F.slice("paths", F.col("at") + 2, most_files)).alias("b"))
 
@@ -63,6 +66,25 @@ def co_change(log: DataFrame, *, shared: int = 2, least: float = 0.15, most_file
     return out.withColumn("jaccard", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6)).where(F.col("jaccard") >= least)
 
 
+def co_change_bands(log: DataFrame, *, shared: int = 2, strong: float = 0.15, weak: float = 0.05, most_files: int = 50, top_strong: int = 5, top_weak: int = 3) -> DataFrame:
+    """Per path its strong partners (enough shared commits and a high Jaccard) and its weak ones (any shared commit, a lower Jaccard), the best of each band."""
+    edges = co_change(log, shared=1, least=weak, most_files=most_files)
+    band = F.when((F.col("shared") >= shared) & (F.col("jaccard") >= strong), "strong").otherwise("weak")
+    every = both_ways(edges.select("a", "b", "shared", "jaccard", band.alias("band")))
+    nth = F.row_number().over(Window.partitionBy("anchor", "band").orderBy(F.desc("jaccard"), F.desc("shared"), "partner")).cast("long")
+    return every.withColumn("nth", nth).where(F.col("nth") <= F.when(F.col("band") == "strong", top_strong).otherwise(top_weak))
+
+
+def repository_history(log: DataFrame, *, most: int = 10, **bands) -> DataFrame:
+    """Totals (commits, paths, authors), the paths with most commits and the strongest pairs: (fact, a, b, value)."""
+    totals = log.agg(F.count_distinct("oid").alias("commits"), F.count_distinct("path").alias("paths"), F.count_distinct("author").alias("authors"))
+    none = F.lit(None).cast("string")
+    total = totals.select(F.explode(F.array(*[F.struct(F.lit(c).alias("a"), F.col(c).cast("double").alias("value")) for c in totals.columns])).alias("t")).select(F.lit("total").alias("fact"), "t.a", none.alias("b"), "t.value")
+    hot = log.groupBy("path").agg(F.count_distinct("oid").cast("double").alias("value")).orderBy(F.desc("value"), "path").limit(most).select(F.lit("hotspot").alias("fact"), F.col("path").cast("string").alias("a"), none.alias("b"), "value")
+    pair = co_change(log, **bands).orderBy(F.desc("jaccard"), F.desc("shared"), "a", "b").limit(most).select(F.lit("pair").alias("fact"), F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("jaccard").alias("value"))
+    return total.unionByName(hot).unionByName(pair)
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """Edges (a, b, ...) as (anchor, partner, ...) in both directions."""
     rest = [c for c in edges.columns if c not in ("a", "b")]

@@ -116,21 +116,38 @@ def edit_plan(edits: DataFrame) -> DataFrame:
     return once.withColumn("state", state).withColumn("nth", place)
 
 
-def commit_distance(parents: DataFrame, start: str, end: str, *, most: int = 1000) -> int | None:
-    """Commits on the way back from ``end`` to ``start`` over (child, parent); None if it isn't an ancestor within ``most``.
+def _ancestors(parents: DataFrame, starts: DataFrame, stride: int) -> DataFrame:
+    """(node, side): the starts (node, side) and every commit reachable from them over (child, parent).
 
-    Only the frontier's size grows; the answer is one number.
+    Links are first widened to all commits within ``stride`` steps (by doubling),
+    so a history takes its depth over the stride in rounds. Visited commits stay
+    a distributed table, written each round.
     """
     from tessera.scratch import cut
 
-    frontier = parents.sparkSession.createDataFrame([(end,)], "node string")
-    seen = frontier
-    for hops in range(most + 1):
-        if not frontier.where(F.col("node") == start).isEmpty():
-            return hops
-        nexts = parents.join(frontier, F.col("child") == F.col("node")).select(F.col("parent").alias("node")).where("node IS NOT NULL").distinct()
-        frontier = cut(nexts.join(seen, "node", "left_anti"), "distance")
+    links = parents.where("child IS NOT NULL AND parent IS NOT NULL").select("child", "parent").distinct()
+    reach_ = 1
+    while reach_ < stride:
+        further = links.alias("x").join(links.alias("y"), F.col("x.parent") == F.col("y.child")).select("x.child", "y.parent")
+        links, reach_ = cut(links.unionByName(further).distinct(), "links"), 2 * reach_
+    seen = frontier = cut(starts.distinct(), "seen")
+    while True:
+        nexts = links.join(frontier, F.col("child") == F.col("node")).select(F.col("parent").alias("node"), "side").distinct()
+        frontier = cut(nexts.join(seen, ["node", "side"], "left_anti"), "seen")
         if frontier.isEmpty():
-            return None
+            return seen
         seen = seen.unionByName(frontier)
-    return None
+
+
+def ahead_behind(parents: DataFrame, local: str, upstream: str, *, stride: int = 16) -> tuple[int, int] | None:
+    """How many commits only ``local`` reaches, and only ``upstream``; None if they share none."""
+    starts = parents.sparkSession.createDataFrame([(local, "l"), (upstream, "u")], "node string, side string")
+    sides = _ancestors(parents, starts, stride).groupBy("node").agg(F.max(F.col("side") == "l").alias("l"), F.max(F.col("side") == "u").alias("u"))
+    n = sides.agg(F.count_if(F.col("l") & ~F.col("u")).alias("ahead"), F.count_if(F.col("u") & ~F.col("l")).alias("behind"), F.count_if(F.col("l") & F.col("u")).alias("both")).first()
+    return (n.ahead, n.behind) if n.both else None
+
+
+def commit_distance(parents: DataFrame, start: str, end: str, *, stride: int = 16) -> int | None:
+    """Commits that ``end`` reaches and ``start`` doesn't; None for unrelated histories."""
+    found = ahead_behind(parents, end, start, stride=stride)
+    return None if found is None else found[0]

@@ -104,10 +104,20 @@ def symbol_browse(symbols: DataFrame, references: DataFrame, *, limit: int = 20)
 
 
 def did_you_mean(names: DataFrame, query: str, *, limit: int = 5) -> DataFrame:
-    """Names nearest by edit distance; those that hold the query come first."""
+    """Names like the query: 0 where one holds the other, else the longer's bytes less the shared beginning, or less the shared characters.
+
+    Names that share no character, and those shorter than two bytes (or the
+    query), are left out.
+    """
+    if not query:
+        raise InvalidQuery("the query is empty")
     q, name = query.lower(), F.lower("name")
-    distance = F.when(name.contains(q), 0).otherwise(F.levenshtein(name, F.lit(q))).cast("long")
-    return names.select("name").distinct().withColumn("distance", distance).orderBy("distance", "name").limit(limit)
+    longest = F.greatest(F.octet_length("name"), F.lit(len(query.encode())))
+    beginning = sum((name.startswith(q[:i]).cast("int") for i in range(1, len(q) + 1)), F.lit(0))
+    shared = F.size(F.array_intersect(F.split(name, ""), F.array(*[F.lit(c) for c in sorted(set(q))])))
+    distance = F.when(name.contains(q) | F.lit(q).contains(name), 0).when(beginning > 0, longest - beginning).when(shared > 0, longest - shared).cast("long")
+    some = names.select("name").where(F.octet_length("name") >= min(2, len(query.encode()))).distinct()
+    return some.withColumn("distance", distance).where("distance IS NOT NULL").orderBy("distance", "name").limit(limit)
 
 
 def path_search(files: DataFrame, query: str, *, limit: int = 20) -> DataFrame:

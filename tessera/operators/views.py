@@ -39,11 +39,26 @@ def interleave(rows: DataFrame, lane: Column, order: list) -> DataFrame:
 
 
 def nearest_matches(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old and new symbols (keys, line) of one name aligned by their order of lines: the first with the first."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("line"))
-    a = old.select(*keys, F.col("line").alias("old_line"), nth.alias("nth").cast("long"))
-    b = new.select(*keys, F.col("line").alias("new_line"), nth.alias("nth").cast("long"))
-    return a.join(b, [*keys, "nth"], "full_outer")
+    """Old symbols with new ones of the same keys (path, name, kind), one to one: (keys, old_line, new_line), null where one has no match.
+
+    New symbols choose in order of their lines, each the nearest old line that is
+    left (the earlier of two as near). A group holds the symbols of one file that
+    share name and kind; it is folded in one row.
+    """
+    left = old.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col("line").cast("long"))).alias("_old"))
+    right = new.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col("line").cast("long"))).alias("_new"))
+    none = F.array().cast("array<bigint>")
+    both = left.join(right, keys, "full_outer").select(*keys, F.coalesce("_old", none).alias("_old"), F.coalesce("_new", none).alias("_new"))
+    start = F.struct(F.col("_old").alias("left"), F.array().cast("array<struct<old_line:bigint,new_line:bigint>>").alias("pairs"))
+
+    def choose(acc: Column, line: Column) -> Column:
+        near = F.array_min(F.transform(acc["left"], lambda x, i: F.struct(F.abs(x - line).alias("d"), i.alias("i"), x.alias("x"))))
+        rest = F.filter(acc["left"], lambda x, i: near["i"].isNull() | (i != near["i"]))
+        return F.struct(rest.alias("left"), F.array_append(acc["pairs"], F.struct(near["x"].alias("old_line"), line.alias("new_line"))).alias("pairs"))
+
+    done = both.withColumn("_m", F.aggregate("_new", start, choose))
+    gone = F.transform(F.col("_m.left"), lambda x: F.struct(x.alias("old_line"), F.lit(None).cast("long").alias("new_line")))
+    return done.select(*keys, F.explode(F.concat(F.col("_m.pairs"), gone)).alias("p")).select(*keys, "p.*")
 
 
 def prefixes(paths: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def latest_commit(spark, d):
 _PAIRS = "small AS (SELECT oid FROM log GROUP BY oid HAVING count(DISTINCT path) BETWEEN 2 AND {most}), pairs AS (SELECT x.oid, x.path AS a, y.path AS b, x.ts FROM log x JOIN log y ON x.oid = y.oid AND x.path < y.path WHERE x.oid IN (SELECT oid FROM small))"
 
 
-@query("co_change_jaccard", f"""{_LOG}, {_PAIRS.format(most=6)}, n AS (SELECT path, count(DISTINCT oid) AS n FROM log GROUP BY path), s AS (SELECT a, b, count(DISTINCT oid) AS shared FROM pairs GROUP BY a, b HAVING count(DISTINCT oid) >= 2)
+@query("co_change_jaccard", f"""{_LOG}, {_PAIRS.format(most=50)}, n AS (SELECT path, count(DISTINCT oid) AS n FROM log GROUP BY path), s AS (SELECT a, b, count(DISTINCT oid) AS shared FROM pairs GROUP BY a, b HAVING count(DISTINCT oid) >= 2)
 SELECT * FROM (SELECT s.a, s.b, shared, x.n AS na, y.n AS nb, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM s JOIN n x ON s.a = x.path JOIN n y ON s.b = y.path) WHERE jaccard >= 0.012""")
 def co_change_jaccard(spark, d):
     return H.co_change(log(spark, d), least=0.012)
@@ -60,6 +60,33 @@ def co_change_partners(spark, d):
     return H.top_partners(H.both_ways(edges), [F.desc("jaccard"), F.desc("shared"), F.col("partner")], top=5)
 
 
+#: A log in which paths often change together: types of parts and, for small parts, brands.
+_DENSE = "WITH log AS (SELECT DISTINCT l_orderkey AS oid, CASE WHEN p_size > 25 THEN p_type ELSE p_brand END AS path, o_custkey % 40 AS author FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)"
+_DENSE_J = f"""{_DENSE}, {_PAIRS.format(most=50).replace(", x.ts", "")}, n AS (SELECT path, count(DISTINCT oid) AS n FROM log GROUP BY path), s AS (SELECT a, b, count(DISTINCT oid) AS shared FROM pairs GROUP BY a, b),
+j AS (SELECT s.a, s.b, shared, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM s JOIN n x ON s.a = x.path JOIN n y ON s.b = y.path)"""
+
+
+def _dense(spark, d):
+    parts = T.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_size") > 25, F.col("p_type")).otherwise(F.col("p_brand")).alias("path"))
+    orders = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 40).alias("author"))
+    return T.table(spark, d, "lineitem").join(parts, "l_partkey").join(orders, "l_orderkey").select(F.col("l_orderkey").alias("oid"), "path", "author").distinct()
+
+
+@query("co_change_bands", f"""{_DENSE_J}, e AS (SELECT a AS anchor, b AS partner, shared, jaccard FROM j WHERE jaccard >= 0.05 UNION ALL SELECT b, a, shared, jaccard FROM j WHERE jaccard >= 0.05),
+k AS (SELECT *, CASE WHEN shared >= 2 AND jaccard >= 0.15 THEN 'strong' ELSE 'weak' END AS band FROM e)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor, band ORDER BY jaccard DESC, shared DESC, partner) AS nth FROM k) WHERE nth <= CASE band WHEN 'strong' THEN 5 ELSE 3 END""")
+def co_change_bands(spark, d):
+    return H.co_change_bands(_dense(spark, d))
+
+
+@query("repository_history", f"""{_DENSE_J}, t AS (SELECT count(DISTINCT oid) AS commits, count(DISTINCT path) AS paths, count(DISTINCT author) AS authors FROM log)
+SELECT 'total' AS fact, 'commits' AS a, NULL AS b, CAST(commits AS DOUBLE) AS value FROM t UNION ALL SELECT 'total', 'paths', NULL, paths FROM t UNION ALL SELECT 'total', 'authors', NULL, authors FROM t
+UNION ALL (SELECT 'hotspot', path, NULL, CAST(count(DISTINCT oid) AS DOUBLE) AS v FROM log GROUP BY path ORDER BY v DESC, path LIMIT 10)
+UNION ALL (SELECT 'pair', a, b, jaccard FROM j WHERE shared >= 2 AND jaccard >= 0.15 ORDER BY jaccard DESC, shared DESC, a, b LIMIT 10)""")
+def repository_history(spark, d):
+    return H.repository_history(_dense(spark, d))
+
+
 @query("hotspots", f"{_LOG} SELECT path, count(DISTINCT oid) AS commits, count(DISTINCT author) AS authors FROM log GROUP BY path ORDER BY commits DESC, path LIMIT 10")
 def hotspots(spark, d):
     return log(spark, d).groupBy("path").agg(F.count_distinct("oid").alias("commits"), F.count_distinct("author").alias("authors")).orderBy(F.desc("commits"), "path").limit(10)

@@ -10,7 +10,7 @@ from tessera.plans.registry import query
 from tessera.plans.search_queries import _LINES
 from tessera.sources import tables as T
 
-_PLACES = """sym AS (SELECT p_brand AS path, p_name || p_partkey AS name, p_size % 4 AS depth, p_partkey AS "start", p_partkey + p_size * 3 AS "end" FROM part), pt AS (SELECT DISTINCT p_brand AS path, p_partkey + 5 AS line_no FROM part WHERE p_partkey % 3 = 0)"""
+_PLACES = """sym AS (SELECT p_brand AS path, p_name || p_partkey AS name, p_size % 4 AS depth, p_partkey AS "start", p_partkey + p_size * 3 AS "end" FROM part), pt AS (SELECT DISTINCT p_brand AS path, p_partkey + 5 AS line_no FROM part)"""
 
 
 def symbols(spark, d):

@@ -71,7 +71,9 @@ def succession(spark, d):
     return K.succession(parts.select(key.alias("node"), F.when(key % 50 == 0, key - 2).otherwise(key + 1).alias("next")))
 
 
-@query("curation_preview", """SELECT 'k' || o_orderkey AS "key", CAST(o_orderkey % 2000 AS VARCHAR) AS path, CASE WHEN o_orderkey % 4 = 0 THEN 'remove' ELSE 'upsert' END AS op, CASE WHEN NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = o_orderkey) AND o_orderkey % 4 = 0 THEN 'missing' WHEN coalesce(CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE (SELECT p_brand FROM part WHERE p_partkey = o_orderkey) END IS DISTINCT FROM (SELECT p_brand FROM part WHERE p_partkey = o_orderkey), true) THEN 'stale' ELSE 'applied' END AS outcome FROM orders WHERE o_orderkey < 2000""")
+@query("curation_preview", """SELECT 'k' || o_orderkey AS "key", CAST(o_orderkey % 2000 AS VARCHAR) AS path, CASE WHEN o_orderkey % 4 = 0 THEN 'remove' ELSE 'upsert' END AS op,
+CASE WHEN row_number() OVER (PARTITION BY o_orderkey % 2000 ORDER BY 'k' || o_orderkey) > 1 THEN 'conflict' WHEN p_partkey IS NULL AND o_orderkey % 4 = 0 THEN 'missing' WHEN CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE p_brand END IS DISTINCT FROM p_brand THEN 'stale' ELSE 'applied' END AS outcome
+FROM orders LEFT JOIN part ON p_partkey = o_orderkey % 2000""")
 def curation_preview(spark, d):
     parts = T.table(spark, d, "part")
     ledger = parts.select(F.col("p_partkey").cast("string").alias("path"), F.col("p_brand").alias("hash"), F.col("p_name").alias("value"))

@@ -9,7 +9,7 @@ from tessera.plans.registry import query
 from tessera.sources import tables as T
 
 #: A graph of parts: an order's parts in line order call one another.
-_EDGES = """WITH RECURSIVE edges AS (SELECT DISTINCT x.l_partkey AS src, y.l_partkey AS dst FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber + 1 = y.l_linenumber WHERE x.l_partkey <> y.l_partkey AND x.l_orderkey % 7 = 0)"""
+_EDGES = """WITH RECURSIVE edges AS (SELECT DISTINCT x.l_partkey AS src, y.l_partkey AS dst FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber + 1 = y.l_linenumber WHERE x.l_partkey <> y.l_partkey)"""
 
 
 def edges(spark, d):
@@ -52,7 +52,7 @@ def references_by_name(spark, d):
     return refs.groupBy("name").agg(F.count("*").alias("refs"), F.count_distinct("l_orderkey").alias("places"))
 
 
-@query("innermost_symbol", """WITH p AS (SELECT p_brand AS path, p_partkey AS pos FROM part WHERE p_partkey % 5 = 0), r AS (SELECT p_brand AS path, p_partkey AS "start", p_partkey + p_size * 4 AS "end", p_name AS name FROM part),
+@query("innermost_symbol", """WITH p AS (SELECT p_brand AS path, p_partkey AS pos FROM part), r AS (SELECT p_brand AS path, p_partkey AS "start", p_partkey + p_size * 4 AS "end", p_name AS name FROM part),
 j AS (SELECT p.path, p.pos, r."start", r."end", r.name, row_number() OVER (PARTITION BY p.path, p.pos ORDER BY r."start" DESC, r.name) AS nth FROM p LEFT JOIN r ON p.path = r.path AND p.pos > r."start" AND p.pos <= r."end")
 SELECT path, pos, "start", "end", name FROM j WHERE nth = 1""")
 def innermost_symbol(spark, d):
@@ -84,7 +84,7 @@ def overlay_merge(spark, d):
 
 
 @query("evict_dead", """SELECT DISTINCT x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber + 1 = y.l_linenumber
-WHERE x.l_partkey <> y.l_partkey AND x.l_orderkey % 7 = 0 AND x.l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 30) AND y.l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 30)""")
+WHERE x.l_partkey <> y.l_partkey AND x.l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 30) AND y.l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 30)""")
 def evict_dead(spark, d):
     live = T.table(spark, d, "part").where("p_size < 30").select(F.col("p_partkey").alias("path"))
     return R.evict(edges(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b")), live)

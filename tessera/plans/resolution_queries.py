@@ -10,7 +10,8 @@ from tessera.plans.registry import query
 from tessera.plans.relation_queries import _EDGES, edges
 from tessera.sources import tables as T
 
-_RANGES = "p AS (SELECT p_brand AS path, p_partkey AS pos FROM part WHERE p_partkey % 5 = 0), r AS (SELECT p_brand AS path, p_partkey AS \"start\", p_partkey + p_size * 4 AS \"end\", p_name AS name FROM part WHERE p_size % 3 = 0)"
+_RANGES = "p AS (SELECT p_brand AS path, p_partkey AS pos FROM part), r AS (SELECT p_brand AS path, p_partkey AS \"start\", p_partkey + p_size * 4 AS \"end\", p_name AS name FROM part)"
+_MODULES = _RANGES.replace("p_name AS name FROM part)", "p_name AS name FROM part WHERE p_size % 3 = 0)")
 
 
 def _points_ranges(spark, d, which="true"):
@@ -25,7 +26,7 @@ def references_in_symbol(spark, d):
     return N.range_join(*_points_ranges(spark, d), ["path"], "pos")
 
 
-@query("outside_test_modules", f'WITH {_RANGES} SELECT path, pos FROM p WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.path = p.path AND p.pos BETWEEN r."start" AND r."end")')
+@query("outside_test_modules", f'WITH {_MODULES} SELECT path, pos FROM p WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.path = p.path AND p.pos BETWEEN r."start" AND r."end")')
 def outside_test_modules(spark, d):
     # every symbol holds its own first place: the test modules among them are what points can lie outside of
     return N.outside(*_points_ranges(spark, d, "p_size % 3 = 0"), ["path"], "pos")
@@ -180,7 +181,7 @@ def edit_impact(spark, d):
     return N.edit_impact(parts.where("name % 11 <> 3"), parts.where("name % 11 <> 5").withColumn("body", changed), callers)
 
 
-@query("hunk_symbols", """WITH h AS (SELECT l_orderkey AS oid, p_brand AS path, p_partkey AS f, p_partkey + l_linenumber * 9 AS t FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 25 = 0), s AS (SELECT p_brand AS path, p_partkey AS name, p_partkey AS f, p_partkey + p_size * 3 AS t FROM part)
+@query("hunk_symbols", """WITH h AS (SELECT l_orderkey AS oid, p_brand AS path, p_partkey AS f, p_partkey + l_linenumber * 9 AS t FROM lineitem JOIN part ON l_partkey = p_partkey), s AS (SELECT p_brand AS path, p_partkey AS name, p_partkey AS f, p_partkey + p_size * 3 AS t FROM part)
 SELECT DISTINCT oid, path, name FROM h JOIN s USING (path) WHERE h.f <= s.t AND s.f <= h.t""")
 def hunk_symbols(spark, d):
     parts = T.table(spark, d, "part").select("p_partkey", "p_brand", "p_size")

@@ -89,10 +89,12 @@ def symbol_browse(spark, d):
     return S.symbol_browse(T.symbols(spark, d), refs, limit=25)
 
 
-@query("did_you_mean", """SELECT name, CAST(CASE WHEN contains(lower(name), 'rde bolt') THEN 0 ELSE levenshtein(lower(name), 'rde bolt') END AS BIGINT) AS distance
-FROM (SELECT DISTINCT p_name AS name FROM part) ORDER BY distance, name LIMIT 5""")
+@query("did_you_mean", """WITH n AS (SELECT name, lower(name) AS low, 'rde bolts' AS q, len(list_filter(range(1, 10), lambda i: starts_with(lower(name), 'rde bolts'[1:i]))) AS beginning,
+len(list_intersect(string_split(lower(name), ''), string_split('rde bolts', ''))) AS shared, greatest(strlen(name), 9) AS longest FROM (SELECT DISTINCT p_name AS name FROM part WHERE strlen(p_name) >= 2)),
+s AS (SELECT name, CAST(CASE WHEN contains(low, q) OR contains(q, low) THEN 0 WHEN beginning > 0 THEN longest - beginning WHEN shared > 0 THEN longest - shared END AS BIGINT) AS distance FROM n)
+SELECT name, distance FROM s WHERE distance IS NOT NULL ORDER BY distance, name LIMIT 5""")
 def did_you_mean(spark, d):
-    return S.did_you_mean(T.symbols(spark, d), "rde bolt")
+    return S.did_you_mean(T.symbols(spark, d), "rde bolts")
 
 
 _PATHS = "WITH files AS (SELECT DISTINCT source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) AS path FROM documents)"

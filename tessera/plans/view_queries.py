@@ -43,12 +43,15 @@ def fair_interleave(spark, d):
     return V.interleave(rows, F.col("p_size") > 25, [F.desc("p_retailprice"), F.col("p_partkey")]).orderBy("turn", "lane").limit(40).select("p_partkey", "lane", "turn")
 
 
-@query("nearest_match", """WITH o AS (SELECT p_name AS name, p_partkey AS old_line, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS nth FROM part WHERE p_partkey % 7 <> 0),
-n AS (SELECT p_name AS name, p_partkey + 1 AS new_line, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS nth FROM part WHERE p_partkey % 5 <> 0)
-SELECT name, nth, old_line, new_line FROM o FULL OUTER JOIN n USING (name, nth)""")
+@query("nearest_match", """WITH RECURSIVE o AS (SELECT p_name AS name, p_type AS kind, list(p_partkey ORDER BY p_partkey) AS olds FROM part WHERE p_partkey % 7 <> 0 GROUP BY ALL),
+n AS (SELECT p_name AS name, p_type AS kind, list(p_partkey + 3 ORDER BY p_partkey) AS news FROM part WHERE p_partkey % 5 <> 0 GROUP BY ALL),
+g AS (SELECT name, kind, coalesce(olds, []) AS olds, coalesce(news, []) AS news FROM o FULL OUTER JOIN n USING (name, kind)),
+w AS (SELECT name, kind, olds, news, 0 AS i, NULL::BIGINT AS old_line FROM g
+UNION ALL SELECT name, kind, list_filter(olds, lambda x: pick IS NULL OR x <> pick), news, i + 1, pick FROM (SELECT *, list_sort(list_transform(olds, lambda x: [abs(x - news[i + 1]), x]))[1][2] AS pick FROM w WHERE i < len(news)))
+SELECT name, kind, old_line, news[i] AS new_line FROM w WHERE i > 0 UNION ALL SELECT name, kind, unnest(olds), NULL FROM w WHERE i = len(news)""")
 def nearest_match(spark, d):
-    parts = T.table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("line"))
-    return V.nearest_matches(parts.where("line % 7 <> 0"), parts.where("line % 5 <> 0").withColumn("line", F.col("line") + 1), ["name"])
+    parts = T.table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.col("p_partkey").alias("line"))
+    return V.nearest_matches(parts.where("line % 7 <> 0"), parts.where("line % 5 <> 0").withColumn("line", F.col("line") + 3), ["name", "kind"])
 
 
 @query("recency_store", """SELECT lane, handle, bytes, at_, used, nth FROM (SELECT event_type AS lane, event_id AS handle, CAST(floor(value * 100) AS BIGINT) AS bytes, ts AS at_, CAST(sum(CAST(floor(value * 100) AS BIGINT)) OVER w AS BIGINT) AS used, row_number() OVER w AS nth FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING)) WHERE nth <= 256 AND used <= 100000""")

@@ -1,11 +1,12 @@
 """Edges of inspection, edit previews, configuration facts, promotions and stream helpers."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import extraction as E, inspection as I
+from tessera.operators import extraction as E, inspection as I, views as V
 from tessera.sources import snapshots
 from tessera.streaming import access
 
@@ -43,7 +44,56 @@ def test_manifests_and_distance(spark):
     manifests = spark.createDataFrame([("pkg/package.json", '{"main": "./lib/a.js", "types": "x.d.ts"}'), ("package.json", "{broken"), ("z.json", None)], "path string, content string")
     assert [tuple(r) for r in I.manifest_paths(manifests, files).collect()] == [("pkg/package.json", "pkg/lib/a.js")]
     parents = spark.createDataFrame([("d", "c"), ("c", "b"), ("c", "x"), ("b", "a"), ("a", None)], "child string, parent string")
-    assert [I.commit_distance(parents, s, "d") for s in ("d", "b", "a", "nope")] == [0, 2, 3, None]
+    # what d reaches and the start doesn't: x came in by a merge
+    assert [I.commit_distance(parents, s, "d") for s in ("d", "b", "a", "nope")] == [0, 3, 4, None]
+    assert I.ahead_behind(parents, "b", "x") is None and I.ahead_behind(parents, "x", "d") == (0, 4)
+
+
+@pytest.mark.parametrize("stride", [1, 4])
+def test_diverged_histories(spark, stride):
+    r = random.Random(5)
+    links = {0: []}
+    for i in range(1, 60):
+        links[i] = r.sample(range(max(0, i - 6), i), min(i, r.choice([1, 1, 2])))
+    links |= {100: [], 101: [100]}
+    rows = [(str(c), str(p)) for c, ps in links.items() for p in ps] + [("0", None)]
+    parents = spark.createDataFrame(rows, "child string, parent string")
+
+    def reached(c):
+        todo, seen = [c], {c}
+        while todo:
+            for p in links[todo.pop()]:
+                if p not in seen:
+                    seen.add(p)
+                    todo.append(p)
+        return seen
+
+    for a, b in [(59, 55), (40, 58), (7, 7), (101, 20)]:
+        x, y = reached(a), reached(b)
+        want = (len(x - y), len(y - x)) if x & y else None
+        assert I.ahead_behind(parents, str(a), str(b), stride=stride) == want
+
+
+def test_nearest_matches(spark):
+    def plain(old, new):
+        left, pairs = sorted(old), []
+        for n in sorted(new):
+            best = min(left, key=lambda o: abs(o - n), default=None)
+            if best is not None:
+                left.remove(best)
+            pairs.append((best, n))
+        return pairs + [(o, None) for o in left]
+
+    r = random.Random(9)
+    cases = {"a": ([10], [5, 11]), "b": ([], [1]), "c": ([4, 4], []), "d": ([10, 20, 30], [14, 15, 16])}
+    cases |= {f"r{i}": ([r.randrange(40) for _ in range(r.randrange(7))], [r.randrange(40) for _ in range(r.randrange(7))]) for i in range(40)}
+    old = spark.createDataFrame([(k, x) for k, (o, _) in cases.items() for x in o], "name string, line long")
+    new = spark.createDataFrame([(k, x) for k, (_, n) in cases.items() for x in n], "name string, line long")
+    got = {}
+    for row in V.nearest_matches(old, new, ["name"]).collect():
+        got.setdefault(row.name, []).append((row.old_line, row.new_line))
+    for k, (o, n) in cases.items():
+        assert sorted(got.get(k, []), key=str) == sorted(plain(o, n), key=str)
 
 
 def test_configuration(spark):
