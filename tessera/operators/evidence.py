@@ -17,24 +17,40 @@ def slashes(path: Column) -> Column:
     return F.replace(path, F.lit("\\"), F.lit("/"))
 
 
-def sensitive_path(path: Column) -> Column:
-    """The rule under which a path holds credentials, or null."""
-    low = F.lower(slashes(path))
-    base = _basename(low)
-    template = base.rlike(r"(\.(example|sample|template|dist)$)|(^(example|sample|template|dist)\.)")
-    environment = base.rlike(r"(^\.env(\.|$))|(\.env$)") & ~template
-    return (
-        F.when(environment, "path.environment-credentials")
-        .when(base.isin(".git-credentials", ".netrc", "_netrc"), "path.network-credential-store")
-        .when(base.rlike(r"\.key$|^id_(rsa|dsa|ecdsa|ed25519)$") | (base.endswith(".pem") & base.contains("private")), "path.private-key-material")
-        .when(low.rlike(r"(^|/)\.aws/credentials$|(^|/)\.kube/config$|application_default_credentials\.json$"), "path.cloud-credential-store")
-        .when(base.rlike(r"\.tfstate(\.backup)?$"), "path.infrastructure-state")
-    )
-
-
-def personal_path(path: Column) -> Column:
-    """Personal tools' folders, which tools hide unless asked."""
-    return F.lower(slashes(path)).rlike(r"(^|/)\.obsidian(/|$)|^\.claude/(gsd-|get-shit-done/)")
+# Names and places of files that hold credentials, by rule. "name" patterns are for a
+# path's last part, "path" patterns for all of it, both in lower case; "unless" lets samples through.
+SENSITIVE_PATHS = {
+    "file.cloud-logins": {"path": r"(?:^|/)(?:\.aws/credentials|\.kube/config)$", "name": r".*application_default_credentials\.json"},
+    "file.environment-values": {"name": r"\.env(?:\..*)?|.*\.env", "unless": r"(?:example|sample|template|dist)\..*|.*\.(?:example|sample|template|dist)"},
+    "file.infrastructure-state": {"name": r".*\.tfstate(?:\.backup)?"},
+    "file.network-logins": {"name": r"\.git-credentials|[._]netrc"},
+    "file.private-keys": {"name": r".*\.key|id_(?:rsa|dsa|ecdsa|ed25519)|.*private.*\.pem"},
+}
+
+
+def sensitive_path(path: Column, rules: dict[str, dict[str, str]] = SENSITIVE_PATHS) -> Column:
+    """The first of ``rules`` that a path falls under, or null."""
+    whole = F.lower(slashes(path))
+    name = _basename(whole)
+
+    def holds(rule: dict[str, str]) -> Column:
+        hit = F.lit(False)
+        if "name" in rule:
+            hit = hit | name.rlike(f"^(?:{rule['name']})$")
+        if "path" in rule:
+            hit = hit | whole.rlike(rule["path"])
+        return hit & ~name.rlike(f"^(?:{rule['unless']})$") if "unless" in rule else hit
+
+    return F.coalesce(*[F.when(holds(rule), F.lit(name_)) for name_, rule in rules.items()])
+
+
+def personal_path(path: Column, folders: list[str]) -> Column:
+    """Whether a path lies in one of the folders that a caller names as somebody's own tools."""
+    if not folders:
+        return F.lit(False)
+    parts = F.split(F.lower(slashes(path)), "/")
+    above = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    return F.arrays_overlap(above, F.array(*[F.lit(f.lower()) for f in folders]))
 
 
 def lfs_pointer(content: Column) -> Column:
@@ -52,13 +68,33 @@ def nul_scan(content: Column, *, first: int = 5) -> Column:
     return F.struct((F.length(content) - F.length(F.replace(content, F.lit("\x00"), F.lit("")))).cast("long").alias("count"), offsets.alias("offsets"))
 
 
+# How lines begin (after blanks) that import, comment, document, or carry a mark worth showing.
+LINE_STARTS = {
+    "documentation": ("///", "//!", "/**"),
+    "marked": ("# TODO", "# FIXME", "# NOTE", "# HACK", "# type:"),
+    "import": ("use ", "import ", "#include", "require("),
+    "comment": ("//", "/*", "*/", "* ", "--", "# ", "#!"),
+}
+
+
+def line_kind(line: Column, starts: dict[str, tuple[str, ...]] = LINE_STARTS) -> Column:
+    """documentation, marked, import, comment or code, in this order of precedence."""
+    bare = F.trim(line)
+    begins = {kind: reduce(lambda a, b: a | b, (bare.startswith(s) for s in each)) for kind, each in starts.items()}
+    taken = (bare.startswith("from ") & bare.contains(" import ")) | (bare.rlike(r"^(?:const|let|var)\s") & bare.contains("require("))
+    kind = F.when(begins["documentation"], "documentation").when(begins["marked"], "marked")
+    return kind.when(begins["import"] | taken, "import").when(begins["comment"] | (bare == "#"), "comment").otherwise("code")
+
+
 def noise_line(line: Column) -> Column:
-    """Import, comment and decoration lines; documentation and marked comments aren't noise."""
-    t = F.trim(line)
-    documented = t.rlike(r"^(///|//!|/\*\*)")
-    marked = t.rlike(r"^# (TODO|FIXME|NOTE|HACK|type:)")
-    noise = t.rlike(r"^(use |import |from .* import |require\(|#include|//|# |#$|#!|/\*|\* |\*/|--|(const|let|var) .*require\()")
-    return noise & ~documented & ~marked
+    """Whether a line only imports or comments, so that shown results may leave it out."""
+    return line_kind(line).isin("import", "comment")
+
+
+def low_signal(name: Column, common: list[str], *, least: int = 3) -> Column:
+    """Names that say little: shorter than ``least``, of one repeated character, or among the caller's common ones."""
+    plain = F.lower(F.trim(name))
+    return (F.length(plain) < least) | plain.rlike(r"^(.)\1*$") | plain.isin(*[c.lower() for c in common])
 
 
 def builtin_name(name: Column, language: Column, builtins: dict[str, list[str]]) -> Column:

@@ -135,7 +135,12 @@ def source_scope(spark, d):
     return K.in_scope(T.table(spark, d, "events").select("event_id", kind, lane.alias("lane")), "all").select("event_id", F.col("event_type").alias("lane"), "precedence")
 
 
-@query("noise_lines", rf"""{_LINES} SELECT regexp_matches(trim(line), '^(use |import |from .* import |require\(|#include|//|# |#$|#!|/\*|\* |\*/|--|(const|let|var) .*require\()') AND NOT regexp_matches(trim(line), '^(///|//!|/\*\*)') AND NOT regexp_matches(trim(line), '^# (TODO|FIXME|NOTE|HACK|type:)') AS noise, count(*) AS n FROM lines GROUP BY 1""")
+def _starts(*kinds: str) -> str:
+    return " OR ".join(f"starts_with(t, '{x}')" for k in kinds for x in V.LINE_STARTS[k])
+
+
+@query("noise_lines", f"""{_LINES}, b AS (SELECT trim(line, ' ') AS t FROM lines), k AS (SELECT NOT ({_starts("documentation", "marked")}) AND ({_starts("import", "comment")} OR t = '#' OR (starts_with(t, 'from ') AND contains(t, ' import ')) OR (regexp_matches(t, '^(const|let|var)[ \\t]') AND contains(t, 'require('))) AS noise FROM b)
+SELECT noise, count(*) AS n FROM k GROUP BY noise""")
 def noise_lines(spark, d):
     return T.lines(T.files(spark, d)).groupBy(V.noise_line(F.col("line")).alias("noise")).agg(F.count("*").alias("n"))
 

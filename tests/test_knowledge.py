@@ -15,7 +15,13 @@ def test_sensitive_paths(spark):
     cases = {".env": "environment", "a/.env.local": "environment", "a/.env.example": None, "prod.env": "environment", "x/id_rsa": "private", "certs/private-a.pem": "private", "certs/public.pem": None, "h\\.aws\\credentials": "cloud", "secret-notes.md": None, "s.tfstate.backup": "infrastructure", ".NETRC": "network", None: None}
     got = column(spark, list(cases), V.sensitive_path)
     assert [g and g.split(".")[1].split("-")[0] for g in got] == list(cases.values())
-    assert column(spark, ["a/.obsidian/x", "b/c", None], V.personal_path) == [True, False, None]
+    assert column(spark, ["a/.Notes/x", "b/c", ".notes", "x\\.notes\\y", None], lambda c: V.personal_path(c, [".notes"])) == [True, False, False, True, None]
+
+
+def test_line_kinds(spark):
+    cases = {"  import x": "import", "from a import b": "import", "from afar": "code", "let q = require('x')": "import", "#include <x>": "import", "/// says": "documentation", "# TODO later": "marked", "# said": "comment", "#": "comment", "#[derive]": "code", "* item": "comment", "x = 1": "code", "": "code", None: "code"}
+    assert column(spark, list(cases), V.line_kind) == list(cases.values())
+    assert column(spark, ["i", "aaaa", "Get", "resolve"], lambda c: V.low_signal(c, ["get"])) == [True, True, True, False]
 
 
 def test_pointer_and_nul(spark):
