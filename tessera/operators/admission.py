@@ -46,6 +46,14 @@ def collisions(files: DataFrame, identity: Column) -> DataFrame:
     return files.groupBy(identity.alias("identity")).agg(F.count_distinct("path").alias("paths"), F.min("path").alias("first_path")).where("paths > 1")
 
 
+def catalog_digest(files: DataFrame, by: list[str], *, digits: int = 3) -> DataFrame:
+    """Per group of (path, byte_len) the number of files and a digest: of digests of buckets, which are named by the first digits of the path's MD5."""
+    line = F.struct("path", F.concat_ws(":", "path", F.col("byte_len").cast("string")).alias("line"))
+    listed = lambda rows: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["line"]), "\n"), 256)
+    buckets = files.groupBy(*by, F.substring(F.md5("path"), 1, digits).alias("_b")).agg(F.count("*").alias("n"), listed(line).alias("line"))
+    return buckets.groupBy(*by).agg(F.sum("n").alias("n"), listed(F.struct("_b", "line")).alias("digest"))
+
+
 def keep_newest(rows: DataFrame, order: str, n: int, *, by: list[str]) -> DataFrame:
     """The newest ``n`` rows of each group."""
     nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order)))

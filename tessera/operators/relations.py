@@ -13,11 +13,40 @@ def resolve_unique(calls: DataFrame, definitions: DataFrame) -> DataFrame:
     return calls.join(single.select("name", "node"), "name")
 
 
+def resolve_qualified(calls: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Calls (call, name, qualified) with the one definition (node, name, path, owner) their qualifier means.
+
+    A single definition of a name needs no qualifier. Of several, those count
+    whose file's stem or a folder is the last qualifier (``a::b::f``: b); only if
+    there is none, those whose owner type it is. More than one resolves nothing.
+    """
+    single = resolve_unique(calls, definitions).select("call", "name", "node")
+    hint = F.regexp_extract("qualified", r"([^:]+)::[^:]*$", 1)
+    asked = calls.join(single, ["call", "name"], "left_anti").where("qualified IS NOT NULL").withColumn("hint", hint).where("hint <> ''").select("call", "name", "hint")
+    parts = F.split(F.replace("path", F.lit("\\"), F.lit("/")), "/")
+    stem = F.regexp_replace(F.element_at(parts, -1), r"(?<=.)\.[^.]*$", "")
+    # every word a definition may be asked by, and whether it is of its path
+    words = F.array_distinct(F.concat(F.transform(F.array_append(parts, stem), lambda w: F.struct(w.alias("hint"), F.lit(True).alias("by_path"))), F.array(F.struct(F.col("owner").alias("hint"), F.lit(False).alias("by_path")))))
+    named = definitions.select("node", "name", F.explode(words).alias("w")).select("node", "name", "w.hint", "w.by_path").where("hint IS NOT NULL AND hint <> ''")
+    found = asked.join(named, ["name", "hint"]).groupBy("call", "name").agg(
+        F.count_if("by_path").alias("paths"), F.count_if(~F.col("by_path")).alias("owners"), F.min(F.when(F.col("by_path"), F.col("node"))).alias("p"), F.min(F.when(~F.col("by_path"), F.col("node"))).alias("o")
+    )
+    node = F.when(F.col("paths") == 1, F.col("p")).when((F.col("paths") == 0) & (F.col("owners") == 1), F.col("o"))
+    return single.unionByName(found.select("call", "name", node.alias("node")).where("node IS NOT NULL"))
+
+
 def innermost(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, order: list[Column]) -> DataFrame:
     """Each point with the first by ``order`` of the ranges (start, end inclusive) that hold it; without one it keeps nulls."""
-    inside = points.join(ranges, keys).where(F.col(at).between(F.col("start"), F.col("end")))
-    best = inside.withColumn("nth", F.row_number().over(Window.partitionBy(*points.columns).orderBy(*order))).where("nth = 1").drop("nth")
-    return points.join(best, points.columns, "left")
+    from tessera.operators.resolution import range_join
+
+    held = [c for c in ranges.columns if c not in keys]
+    # by stretches of lines, so that a file with many points and ranges is spread; points as one value, so nulls keep their match
+    inside = range_join(points, ranges, keys, at).withColumn("_p", F.struct(*points.columns))
+    nth = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    best = inside.withColumn("_nth", nth).where("_nth = 1").select("_p", F.struct(*held).alias("_r"))
+    asked = points.withColumn("_p", F.struct(*points.columns))
+    on = asked["_p"].eqNullSafe(best["_p"])
+    return asked.join(best, on, "left").select(*[asked[c] for c in points.columns], *[F.col(f"_r.{c}").alias(c) for c in held])
 
 
 def call_edges(calls: DataFrame) -> DataFrame:
@@ -68,8 +97,11 @@ def evict(edges: DataFrame, live: DataFrame) -> DataFrame:
 def links(candidates: DataFrame, targets: DataFrame, *, samples: int = 8) -> DataFrame:
     """Link texts (unit, target) as exact, ambiguous or missing, with some of the paths they may mean."""
     named = targets.select(F.col("name").alias("target"), "path")
-    order = Window.partitionBy("target").orderBy("path")
-    some = named.distinct().withColumn("nth", F.row_number().over(order)).groupBy("target").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("nth") <= samples, F.col("path")))).alias("paths"))
+    # a common name's paths are cut down in buckets before they meet
+    bucket = F.pmod(F.xxhash64("path"), F.lit(64))
+    least = lambda c: F.slice(F.array_sort(c), 1, samples)
+    parts = named.distinct().groupBy("target", bucket.alias("_b")).agg(F.count("*").alias("n"), least(F.collect_list("path")).alias("paths"))
+    some = parts.groupBy("target").agg(F.sum("n").alias("n"), least(F.flatten(F.collect_list("paths"))).alias("paths"))
     state = F.when(F.col("n").isNull(), "missing").when(F.col("n") == 1, "exact").otherwise("ambiguous")
     return candidates.join(some, "target", "left").select("unit", "target", state.alias("state"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.array_join(F.coalesce("paths", F.array().cast("array<string>")), ",").alias("paths"))
 

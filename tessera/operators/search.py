@@ -44,17 +44,18 @@ def whole_word(term: str, *, case: bool = False) -> Column:
 def text_search(lines: DataFrame, match: Column, *, per_file: int = 5, total: int = 50) -> DataFrame:
     """Matching lines, the files with most matches first, at most ``per_file`` of a file and ``total`` of all.
 
-    Each file yields a line at least, so the ``total`` best files suffice: they
-    come from a top-k, and the running budget is a window over those few rows.
+    One pass: matching lines meet by file, which keeps its first ones. Each file
+    yields a line at least, so the ``total`` best files suffice: they come from a
+    top-k, and the running budget is a window over those few rows.
     """
-    hits = lines.where(match)
-    counted = hits.groupBy("path").agg(F.count("*").alias("matches"))
-    best = counted.orderBy(F.desc("matches"), "path").limit(total)
+    in_file = Window.partitionBy("path").orderBy("line_no")
+    hits = lines.where(match).select("path", "line_no", "line").withColumn("nth", F.row_number().over(in_file)).withColumn("matches", F.count("*").over(Window.partitionBy("path")))
+    per = hits.where(F.col("nth") <= per_file).groupBy("path", "matches").agg(F.sort_array(F.collect_list(F.struct("nth", "line_no", "line"))).alias("first"))
+    best = per.orderBy(F.desc("matches"), "path").limit(total)
     running = Window.orderBy(F.desc("matches"), "path").rowsBetween(Window.unboundedPreceding, -1)
     budget = best.withColumn("left", total - F.coalesce(F.sum(F.least("matches", F.lit(per_file))).over(running), F.lit(0))).where("left > 0")
-    in_file = Window.partitionBy("path").orderBy("line_no")
-    shown = hits.join(F.broadcast(budget), "path").withColumn("nth", F.row_number().over(in_file))
-    return shown.where((F.col("nth") <= per_file) & (F.col("nth") <= F.col("left"))).select("path", "line_no", "line", "matches")
+    shown = budget.select("path", "matches", "left", F.explode("first").alias("x"))
+    return shown.where(F.col("x.nth") <= F.col("left")).select("path", "x.line_no", "x.line", "matches")
 
 
 def search_totals(lines: DataFrame, match: Column, hidden: Column) -> DataFrame:
@@ -67,9 +68,15 @@ def search_totals(lines: DataFrame, match: Column, hidden: Column) -> DataFrame:
 
 
 def context_windows(lines: DataFrame, match: Column, around: int) -> DataFrame:
-    """Lines within ``around`` of a match; adjacent or overlapping windows are one block."""
-    sizes = lines.groupBy("path").agg(F.max("line_no").alias("last"))
-    near = lines.where(match).join(sizes, "path").select("path", F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("line_no") - around), F.least("last", F.col("line_no") + around))).alias("line_no")).distinct()
+    """Lines within ``around`` of a match; adjacent or overlapping windows are one block.
+
+    Where lines say how many their file has (``n_lines``), only matches are moved.
+    """
+    if "n_lines" in lines.columns:
+        hits = lines.where(match).withColumn("last", F.col("n_lines"))
+    else:
+        hits = lines.where(match).join(lines.groupBy("path").agg(F.max("line_no").alias("last")), "path")
+    near = hits.select("path", F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("line_no") - around), F.least("last", F.col("line_no") + around))).alias("line_no")).distinct()
     order = Window.partitionBy("path").orderBy("line_no")
     fresh = F.coalesce(F.col("line_no") - F.lag("line_no").over(order) > 1, F.lit(True)).cast("long")
     blocks = near.withColumn("block", F.sum(fresh).over(order))

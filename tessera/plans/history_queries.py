@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import history as H
 from tessera.plans.registry import query
+from tessera.scratch import cut
 from tessera.sources import tables as T
 
 NOW, BEFORE = "2001-08-02 00:00:00", "2001-06-01 00:00:00"
@@ -105,7 +106,8 @@ def co_change_weighted(spark, d):
 @query("co_change_incremental", f"{_LEDGER} {_WEIGHTED.format(decay=_decay('ts', 30.0), since='1999-08-02', until='2001-08-02')}")
 def co_change_incremental(spark, d):
     """The state of an earlier window moved on; the SQL builds the later window anew."""
-    rows = H.ledger(log(spark, d))
+    some = log(spark, d).where("ts >= TIMESTAMP '1999-06-01' AND ts < TIMESTAMP '2001-08-02'")  # what either window holds
+    rows = cut(H.ledger(some), "ledger")  # a kept table, as the state is; read for each part below
     old = rows.where("ts >= TIMESTAMP '1999-06-01' AND ts < TIMESTAMP '2001-06-01'")
     outgoing = old.where("ts < TIMESTAMP '1999-08-02'")
     incoming = rows.where("ts >= TIMESTAMP '2001-06-01' AND ts < TIMESTAMP '2001-08-02'")

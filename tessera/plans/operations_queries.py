@@ -75,11 +75,10 @@ def calibration(spark, d):
     return A.calibration(docs.select(F.length("text").cast("double").alias("predicted"), (F.octet_length("text").cast("double") * 1.5).alias("actual"), (F.col("doc_id") % 3 == 0).alias("held")))
 
 
-@query("catalog_digest", f"{_FILES} SELECT language, count(*) AS n, sha256(string_agg(path || ':' || CAST(byte_len AS VARCHAR), chr(10) ORDER BY path)) AS digest FROM files GROUP BY language")
+@query("catalog_digest", f"""{_FILES}, b AS (SELECT language, md5(path)[1:3] AS bucket, count(*) AS n, sha256(string_agg(path || ':' || CAST(byte_len AS VARCHAR), chr(10) ORDER BY path)) AS digest FROM files GROUP BY ALL)
+SELECT language, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(digest, chr(10) ORDER BY bucket)) AS digest FROM b GROUP BY language""")
 def catalog_digest(spark, d):
-    entry = F.struct("path", F.concat_ws(":", "path", F.col("byte_len").cast("string")).alias("line"))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["line"]), "\n")
-    return T.files(spark, d).groupBy("language").agg(F.count("*").alias("n"), F.sha2(listed, 256).alias("digest"))
+    return A.catalog_digest(T.files(spark, d), ["language"])
 
 
 @query("conventions", f"{_FILES} SELECT language, count(*) AS n_files, CAST(sum(len(regexp_extract_all(content, '[a-z]+_[a-z]+'))) AS BIGINT) AS snake, CAST(sum(len(regexp_extract_all(content, '[A-Z][a-z]+'))) AS BIGINT) AS capital, max(byte_len) AS largest, round(avg(byte_len), 6) AS mean_bytes FROM files GROUP BY language")

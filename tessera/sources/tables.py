@@ -1,6 +1,6 @@
 """Adapters from tables of the data folder to the engine's shapes.
 
-files(path, language, source, content, byte_len), lines(path, line_no, line),
+files(path, language, source, content, byte_len), lines(path, line_no, line, n_lines),
 commits(oid, ts, author), commit_files(oid, path), symbols(path, name, kind,
 depth, line), access(path, ts, session). Only the columns a query asks for are
 read: every adapter is a projection that Catalyst prunes into the scan.
@@ -22,9 +22,9 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(files_: DataFrame) -> DataFrame:
-    """A row for each line, numbered from 1, without a closing carriage return."""
-    every = files_.select("path", F.posexplode(F.split("content", "\n")).alias("at", "line"))
-    return every.select("path", (F.col("at") + 1).cast("long").alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
+    """A row for each line, numbered from 1, without a closing carriage return, with the number of the file's lines."""
+    every = files_.select("path", F.split("content", "\n").alias("_l")).select("path", F.size("_l").cast("long").alias("n_lines"), F.posexplode("_l").alias("at", "line"))
+    return every.select("path", (F.col("at") + 1).cast("long").alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"), "n_lines")
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
