@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from tessera.llm import _bytes as B
 from tessera.llm._cache import SliceCache
 from tessera.llm._tables import small_batches
-from tessera.scratch import cut
+from tessera.scratch import cut, fewer_files
 
 CAPACITY = 2048
 END = 0
@@ -138,18 +138,16 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 
 def _pack(capacity: int, schema: pa.Schema, round_: int):
-    """Packs all rows of a task: ``length`` each, the longest first."""
+    """Packs all rows of a partition (``part`` names it): ``length`` each, the longest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         rows = [b for b in batches if b.num_rows]
         if not rows:
             return
         rows = pa.Table.from_batches(rows)
         rows = rows.sort_by([("length", "descending"), *((k, "ascending") for k in ("id", "piece", "start", "sequence_id") if k in rows.column_names)])
         bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity)
-        base = (round_ << 60) + (TaskContext.get().partitionId() << 32)
+        base = (round_ << 60) + (rows["part"][0].as_py() << 32)
         used = np.bincount(bins, rows["length"].to_numpy()).astype(np.int64)[bins]
         for name, x in (("bin", base + bins), ("at", offsets), ("used", used)):
             rows = rows.append_column(name, pa.array(x))
@@ -165,6 +163,11 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     return texts.mapInArrow(_tokenize(tokenizer, capacity, end), "id long, piece int, start long, length long, ids binary")
 
 
+def _dealt(rows: DataFrame, groups: int, *keys) -> DataFrame:
+    """Rows dealt out by a hash, with the number of their partition."""
+    return rows.repartition(groups, F.xxhash64(*keys)).withColumn("part", F.spark_partition_id())
+
+
 def _groups(rows: DataFrame, group: int) -> int:
     return max(1, -(-rows.count() // group))
 
@@ -172,17 +175,18 @@ def _groups(rows: DataFrame, group: int) -> int:
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """``pieces`` (id, piece, start, length and a checksum ``crc``) with ``sequence_id`` and ``offset``."""
     fields = "id long, piece int, start long, length long, crc long"
-    pieces = cut(pieces.select("id", "piece", "start", "length", "crc"), "pieces")
+    # narrow rows, written in few files however many tasks tokenise
+    pieces = cut(pieces.select("id", "piece", "start", "length", "crc").repartition(4 * max(pieces.sparkSession.sparkContext.defaultParallelism, 2)), "pieces")
     groups = _groups(pieces, group)
     schema = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64()), ("bin", pa.int64()), ("at", pa.int64()), ("used", pa.int64())])
-    first = cut(pieces.repartition(groups, F.xxhash64("id", "piece", "crc")).mapInArrow(_pack(capacity, schema, 0), f"{fields}, bin long, at long, used long"), "packed")
+    first = cut(fewer_files(_dealt(pieces, groups, "id", "piece", "crc").mapInArrow(_pack(capacity, schema, 0), f"{fields}, bin long, at long, used long")), "packed")
     # sequences that stayed open are items of the next round, as they are
     level = first.where(F.col("used") < capacity).where("at = 0").select(F.col("bin").alias("sequence_id"), F.col("used").alias("length"))
     merged_schema = pa.schema([("sequence_id", pa.int64()), ("bin", pa.int64()), ("at", pa.int64()), ("used", pa.int64())])
     moved, number, groups = None, 1, -(-groups // 16)
     while True:
-        dealt = level.repartition(groups, F.xxhash64("sequence_id", F.lit(number)))
-        merged = cut(dealt.mapInArrow(_pack(capacity, merged_schema, number), "sequence_id long, bin long, at long, used long"), "merged")
+        dealt = _dealt(level, groups, "sequence_id", F.lit(number))
+        merged = cut(fewer_files(dealt.mapInArrow(_pack(capacity, merged_schema, number), "sequence_id long, bin long, at long, used long")), "merged")
         step = merged.select(F.col("sequence_id").alias("now"), F.col("bin").alias("new"), F.col("at").alias("by"))
         if moved is None:
             moved = step.select(F.col("now").alias("bin"), F.col("new").alias("new_bin"), F.col("by").alias("shift"))
@@ -193,5 +197,5 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, group: int = GROUP) ->
             break
         level = merged.where(F.col("used") < capacity).where("at = 0").select(F.col("bin").alias("sequence_id"), F.col("used").alias("length"))
         number, groups = number + 1, _groups(level, group)
-    out = first.join(moved, "bin", "left")
+    out = fewer_files(first.join(moved, "bin", "left"))
     return out.select("id", "piece", "start", "length", "crc", F.coalesce("new_bin", "bin").alias("sequence_id"), (F.col("at") + F.coalesce("shift", F.lit(0))).alias("offset"))
