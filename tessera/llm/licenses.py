@@ -29,6 +29,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tessera.llm.license_texts import TEXTS
+from tessera.scratch import fewer_files
 
 K = 3
 GAP = 3
@@ -125,4 +126,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, phr
         F.array_join(F.array_sort(F.collect_set(label)), ",").alias("labels"),
         F.max(share).alias("score"),
     )
-    return out.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return fewer_files(out).select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tessera.graph import connected_components
 from tessera.llm import _bytes as B
 from tessera.llm._tables import group_starts, lists, runs, small_batches
-from tessera.scratch import cut
+from tessera.scratch import cut, fewer_files
 
 LANES = 128
 BITS = 4
@@ -365,6 +365,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     components = connected_components(links)
 
     found = reps.join(components, reps.rep == components.node, "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("id", "n_shingles", "k1", "k2").join(found, ["k1", "k2", "n_shingles"], "left")
+    out = fewer_files(signed.select("id", "n_shingles", "k1", "k2").join(found, ["k1", "k2", "n_shingles"], "left"))
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
