@@ -52,7 +52,7 @@ GRAM = 16
 #: Contexts of a bucket that one task may hold (some 150 bytes each, of which refinement takes some sixty times as much).
 HOT = 8_192
 #: Bytes of a text that are looked at together.
-PIECE = 1 << 18
+PIECE = 1 << 16
 #: Anchor rows combined before they leave a task.
 FLUSH = 250_000
 
@@ -76,7 +76,7 @@ def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _grams(data: np.ndarray, gram: int) -> np.ndarray:
     """A hash of the ``gram`` (at most 16) bytes from each place on that has as many."""
     n = len(data) - gram + 1
-    words = B.octets(data)
+    words = np.ascontiguousarray(B.octets(data))
     if gram < 8:
         return B.mix((words[:n] & np.uint64((1 << (8 * gram)) - 1)) + np.uint64(gram))
     first = words[:n] * np.uint64(0x9E3779B97F4A7C15)
@@ -87,7 +87,7 @@ def _grams(data: np.ndarray, gram: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Rows of one piece of text: first window, number of windows, hash of the owner's q-gram and of the context."""
+    """Rows of one piece of text: first window, number of windows, hash of the owner's q-gram, and the owner's place in the first window."""
     grams = _grams(data, gram)
     places = np.arange(len(grams), dtype=np.uint64)
     low = (grams & ~np.uint64(0xFFFFF)) | places
@@ -100,10 +100,12 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     owner = (low & np.uint64(0xFFFFF)).astype(np.int64)
     at = group_starts(owner)
     first, count = at[:-1], np.diff(at)
-    end = first + count - 1 + length
-    offset = (owner[first] - first).astype(np.uint64)
-    context = B.mix(B.slices_hash(data, first, end) + (offset << np.uint64(32)) + count.astype(np.uint64))
-    return first, count, grams[owner[first]], context
+    return first, count, grams[owner[first]], owner[first] - first
+
+
+def context_hash(data: np.ndarray, first: np.ndarray, count: np.ndarray, offset: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each row's context: all bytes of its windows, and where the owner stands in them."""
+    return B.mix(B.slices_hash(data, first, first + count - 1 + length) + (offset.astype(np.uint64) << np.uint64(32)) + count.astype(np.uint64))
 
 
 def _first_of_class(fp: np.ndarray, ctx: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,15 +134,20 @@ def _anchor_rows(length: int, gram: int):
         held = 0
         for got in batches:
             data, offsets = B.view(got.column("text"))
-            for doc, a, b in zip(got.column("id").to_pylist(), offsets[:-1], offsets[1:], strict=True):
-                for s in range(int(a), max(int(b) - length + 1, int(a)), PIECE):
-                    piece = data[s : min(int(b), s + PIECE + length - 1)]
-                    first, count, fp, ctx = anchors(piece, length, gram)
-                    parts.append((fp.view(np.int64), ctx.view(np.int64), np.full(len(first), doc, np.int64), first + (s - int(a)), count))
-                    held += len(first)
-                if held >= FLUSH:
-                    yield combined(parts)
-                    parts, held = [], 0
+            rows: list[tuple[np.ndarray, ...]] = []
+            for doc, a, b in zip(got.column("id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                for s in range(a, max(b - length + 1, a), PIECE):
+                    first, count, fp, offset = anchors(data[s : min(b, s + PIECE + length - 1)], length, gram)
+                    rows.append((first + s, count, fp, offset, np.full(len(first), doc, np.int64), np.full(len(first), a, np.int64)))
+            if not rows:
+                continue
+            first, count, fp, offset, doc, begin = (np.concatenate(x) for x in zip(*rows, strict=True))
+            ctx = context_hash(data, first, count, offset, length)  # of the whole batch at once
+            parts.append((fp.view(np.int64), ctx.view(np.int64), doc, first - begin, count))
+            held += len(first)
+            if held >= FLUSH:
+                yield combined(parts)
+                parts, held = [], 0
         if parts:
             yield combined(parts)
 
@@ -381,6 +388,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *carried)
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in texts.schema.fields[2:])
     joined = texts.join(per_doc, texts.id == per_doc.doc, "left").select("id", "text", "spans", *texts.columns[2:])
-    out = joined.mapInArrow(_cut_out(characters), f"id long, text binary, spans array<struct<start:long,end:long>>, n_bytes long{kinds}")
+    out = fewer_files(joined).mapInArrow(_cut_out(characters), f"id long, text binary, spans array<struct<start:long,end:long>>, n_bytes long{kinds}")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s.end - s.start)
     return out.select(F.col("id").alias(id_col), F.col("text").alias("kept"), "spans", "n_bytes", removed.alias("n_removed"), *(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)))
