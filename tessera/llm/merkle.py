@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.scratch import cut, fewer_files
+from tessera.scratch import cut
 
 #: A phrase ends after a mark, or after a word that ends in s or d, so texts without marks have phrases too.
 _PHRASES = r"(?<=[.!?,;:|sd])\s+"
@@ -115,7 +115,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = out.select("id", "text", edited.alias("edited"), "next_fingerprint")
     alone = texts.where("id IS NULL").select("id", "text", F.col("text").alias("edited"), F.lit(None).cast("string").alias("next_fingerprint"))
     out = out.unionByName(alone).withColumn("fingerprint", fingerprint(F.col("text"))).withColumn("edited_fingerprint", fingerprint(F.col("edited")))
-    return fewer_files(out).select(
+    return out.select(
         F.col("id").alias(id_col),
         F.length("text").cast("long").alias("n_chars"),
         "edited",
