@@ -52,10 +52,10 @@ def file_dependents(spark, d):
     return file_edges(spark, d).groupBy("target").agg(F.count("*").alias("dependents"), F.min("importer").alias("first_importer"))
 
 
-@query("dependents_by_tier", """WITH t AS (SELECT l_partkey AS part, l_orderkey AS dependent, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS tier FROM lineitem WHERE l_quantity > 40)
+@query("dependents_by_tier", """WITH t AS (SELECT l_partkey AS part, l_orderkey AS dependent, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS tier FROM lineitem)
 SELECT DISTINCT part, dependent, CAST(tier AS BIGINT) AS tier FROM t JOIN (SELECT part, min(tier) AS tier FROM t GROUP BY part) USING (part, tier)""")
 def dependents_by_tier(spark, d):
-    items = T.table(spark, d, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("dependent"), "l_returnflag")
+    items = T.table(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("dependent"), "l_returnflag")
     tiers = [items.where(c).select("part", "dependent") for c in ("l_returnflag = 'R'", "l_returnflag = 'A'", "l_returnflag NOT IN ('R', 'A')")]
     return N.first_tier(tiers, "part").distinct()
 
