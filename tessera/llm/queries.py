@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import byte_bpe, chat, licenses, media, merkle, oracles, packing, quality, secrets
+from tessera.llm import byte_bpe, chat, importance, licenses, media, merkle, oracles, packing, quality, secrets, tree_bpe, whitening
 from tessera.llm._tables import table
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.suffix_dedup import remove_repeats
@@ -70,7 +70,22 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_chat_windows, op3_suffix_dedup, op4_best_fit_packing, op5_secret_scan, op6_merkle_fingerprints, op7_quality_neighbours, op8_license_scan, op9_media_columns, op10_byte_bpe)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op12_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tree_bpe.round_trip(table(spark, sf_dir, "documents"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_chat_windows, op3_suffix_dedup, op4_best_fit_packing, op5_secret_scan, op6_merkle_fingerprints, op7_quality_neighbours, op8_license_scan, op9_media_columns, op10_byte_bpe, op11_importance_resampling, op12_tree_bpe, op13_embedding_whitening)}
 
 #: The others can't be put in SQL; each is tested against a brute-force version in tests/llm.
 ORACLE_SQL: dict[str, str] = {"op1_minhash_near_dedup": oracles.NEAR_DEDUP, "op2_chat_windows": oracles.CHAT, "op3_suffix_dedup": oracles.REPEATS}
