@@ -1,9 +1,9 @@
 """Symbols, references and keys from file contents.
 
-Markdown, dotenv and import lists are DataFrame expressions. Python sources are
-parsed with the standard library's ``ast`` in Arrow batches; a file that can't be
-parsed gives no rows and a diagnostic, never a failed job. Sources of other
-languages have no grammar here: :func:`signatures` finds definitions by pattern.
+Dotenv and import lists are DataFrame expressions (Markdown is in ``units``).
+Python sources are parsed with the standard library's ``ast`` in Arrow batches; a
+file that can't be parsed gives no rows and a diagnostic, never a failed job.
+``sourcecode`` reads other languages, and files that break off.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 SYMBOLS = "path string, ordinal int, name string, kind string, depth int, first_line int, last_line int"
 REFERENCES = "path string, name string, kind string, line int, enclosing int"
@@ -142,22 +142,6 @@ def json_keys(files: DataFrame, id_col: str = "path", text_col: str = "content",
     return files.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id string, key string, value string")
 
 
-def markdown_sections(lines: DataFrame) -> DataFrame:
-    """Sections of Markdown lines (path, line_no, line): level, heading and the headings above, outside fences."""
-    order = Window.partitionBy("path").orderBy("line_no")
-    fence = F.sum(F.col("line").rlike(r"^\s*(```|~~~)").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    level = F.when((fence % 2 == 0) & F.col("line").rlike(r"^#{1,6}\s+\S"), F.length(F.regexp_extract("line", "^(#+)", 1)))
-    heads = lines.withColumn("level", level).where("level IS NOT NULL").withColumn("heading", F.trim(F.regexp_replace("line", r"^#+\s+|\s+#+\s*$", "")))
-    seen = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # the last heading of a level counts if nothing of a lower level came after it
-    place = lambda n: F.max(F.when(F.col("level") == n, F.col("line_no"))).over(seen)
-    newest = lambda n: F.last(F.when(F.col("level") == n, F.col("heading")), ignorenulls=True).over(seen)
-    for n in range(1, 7):
-        heads = heads.withColumn(f"_p{n}", place(n)).withColumn(f"_h{n}", newest(n))
-    above = [F.when((F.col("level") >= n) & (F.col(f"_p{n}") >= F.greatest(F.lit(0).cast("long"), F.lit(0).cast("long"), *[F.coalesce(F.col(f"_p{m}"), F.lit(0).cast("long")) for m in range(1, n)])), F.col(f"_h{n}")) for n in range(1, 7)]
-    return heads.select("path", "line_no", F.col("level").cast("long").alias("level"), "heading", F.array_join(F.array_compact(F.array(*above)), " > ").alias("heading_path"))
-
-
 def dotenv(lines: DataFrame) -> DataFrame:
     """Keys and values of dotenv lines; comments and blanks are left out."""
     pattern = r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_.]*)\s*=\s*(.*?)\s*$"

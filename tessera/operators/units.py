@@ -14,7 +14,8 @@ def headings(lines: DataFrame) -> DataFrame:
 
     A heading begins with number signs (level 1 to 6), or is a line of text over
     a row of equals signs (1) or dashes (2). Lines in fences and in a block
-    between dashes at the very top are no headings.
+    between dashes at the very top are no headings. A fence ends at a run of its
+    own character that is no shorter and has nothing behind it, or with the file.
     """
     order = Window.partitionBy("path").orderBy("line_no")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -22,9 +23,7 @@ def headings(lines: DataFrame) -> DataFrame:
     opens = (F.col("line_no") == 1) & rule
     marked = lines.withColumn("_front", F.max(opens.cast("int")).over(so_far)).withColumn("_rules", F.sum(rule.cast("int")).over(so_far))
     marked = marked.withColumn("_top", (F.col("_front") == 1) & ((F.col("_rules") < 2) | (rule & (F.col("_rules") == 2))))
-    fence = F.col("line").rlike(r"^ {0,3}(```|~~~)") & ~F.col("_top")
-    marked = marked.withColumn("_fences", F.sum(fence.cast("int")).over(so_far)).withColumn("_fence", fence)
-    marked = marked.withColumn("_code", (F.col("_fences") % 2 == 1) | F.col("_fence"))
+    marked = _fenced(marked)
     outside = ~F.col("_code") & ~F.col("_top")
     after = F.when(~F.lead("_code", 1, True).over(order), F.lead("line").over(order))
     signs = F.col("line").rlike(r"^ {0,3}#{1,6}(?:[ \t]|$)")
@@ -36,6 +35,33 @@ def headings(lines: DataFrame) -> DataFrame:
     return marked.select("path", "line_no", level.cast("long").alias("level"), heading.alias("heading")).where("level IS NOT NULL")
 
 
+def _fenced(lines: DataFrame) -> DataFrame:
+    """``lines`` (path, line_no, line, _top) with ``_code``: the line is of a fence.
+
+    Whether a run of marks opens, closes or is code depends on the fence that is
+    open, so a file's runs, in one row, are folded in order; only they are.
+    """
+    run = F.regexp_extract("line", r"^ {0,3}(`{3,}(?=[^`]*$)|~{3,})", 1)
+    bare = F.col("line").rlike(r"^ {0,3}(`{3,}|~{3,})[ \t]*$")
+    runs = lines.where((run != "") & ~F.col("_top")).select("path", F.struct("line_no", F.substring(run, 1, 1).alias("mark"), F.length(run).alias("size"), bare.alias("bare")).alias("r"))
+    none = F.array().cast("array<bigint>")
+    start = F.struct(F.lit("").alias("mark"), F.lit(0).alias("size"), none.alias("opens"), none.alias("ends"))
+
+    def step(acc: Column, r: Column) -> Column:
+        opens = acc["mark"] == ""
+        ends = ~opens & (acc["mark"] == r["mark"]) & (r["size"] >= acc["size"]) & r["bare"]
+        put = lambda test, held: F.when(test, F.array_append(held, r["line_no"])).otherwise(held)
+        mark = F.when(opens, r["mark"]).when(ends, "").otherwise(acc["mark"])
+        return F.struct(mark.alias("mark"), F.when(opens, r["size"]).otherwise(acc["size"]).alias("size"), put(opens, acc["opens"]).alias("opens"), put(ends, acc["ends"]).alias("ends"))
+
+    by_file = runs.groupBy("path").agg(F.aggregate(F.sort_array(F.collect_list("r")), start, step).alias("_f"))
+    seen = lines.join(by_file, "path", "left").withColumn("_opens", (run != "") & F.array_contains("_f.opens", F.col("line_no"))).withColumn("_ends", (run != "") & F.array_contains("_f.ends", F.col("line_no")))
+    order = Window.partitionBy("path").orderBy("line_no")
+    opened = F.count_if("_opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ended = F.count_if("_ends").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return seen.withColumn("_code", opened > ended).drop("_f", "_opens", "_ends")
+
+
 def sections(lines: DataFrame) -> DataFrame:
     """Units (path, unit, level, heading_path, parent, first_line, last_line) of Markdown lines.
 

@@ -134,10 +134,10 @@ def conventions_by_language(spark, d):
 
 
 _TAG = "<h[1-6][^>]*>[^<]*</h[1-6]>"
-#: Headings of pages, as Markdown: front matter, then five lines each, the last three a fence.
+#: Headings of pages, as Markdown: front matter, then seven lines each, the last five with a fence of one of three kinds.
 _HEADS = f"""h AS (SELECT page_id, unnest(regexp_extract_all(html, '{_TAG}')) AS tag, unnest(range(1, len(regexp_extract_all(html, '{_TAG}')) + 1)) AS nth FROM pages),
 u AS (SELECT page_id, nth AS unit, CAST(regexp_extract(tag, '<h([1-6])', 1) AS BIGINT) AS level, trim(regexp_extract(tag, '>([^<]*)<', 1)) AS heading FROM h),
-p AS (SELECT *, 3 + 5 * (unit - 1) + CASE WHEN level <= 2 AND unit % 2 = 1 THEN 1 ELSE 2 END AS first_line, max(unit) OVER (PARTITION BY page_id) AS units FROM u)"""
+p AS (SELECT *, 3 + 7 * (unit - 1) + CASE WHEN level <= 2 AND unit % 2 = 1 THEN 1 ELSE 2 END AS first_line, max(unit) OVER (PARTITION BY page_id) AS units FROM u)"""
 
 
 def _page_lines(spark, d):
@@ -145,10 +145,11 @@ def _page_lines(spark, d):
 
     def block(tag, i):
         level, heading = F.regexp_extract(tag, "<h([1-6])", 1).cast("int"), F.trim(F.regexp_extract(tag, ">([^<]*)<", 1))
-        fence = [F.lit("```"), F.lit("# no heading"), F.lit("```")]
+        fences = (["```", "# no heading", "~~~", "# nor this", "```"], ["~~~~ text", "```", "# no heading", "~~~", "~~~~~"], ["   ```", "```x", "# no heading", "````", "said"])
         under = F.when(level == 1, "====").otherwise("---")
         signs = F.concat(F.repeat(F.lit("#"), level), F.lit(" "), heading)
-        return F.when((level <= 2) & (i % 2 == 0), F.array(heading, under, *fence)).otherwise(F.array(F.lit(""), signs, *fence))
+        lines = F.when((level <= 2) & (i % 2 == 0), F.array(heading, under)).otherwise(F.array(F.lit(""), signs))
+        return F.concat(lines, F.get(F.array(*[F.array(*map(F.lit, f)) for f in fences]), i % 3))
 
     top = F.array(F.lit("---"), F.lit("# title: none"), F.lit("---"))
     every = T.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), F.posexplode(F.concat(top, F.flatten(F.transform(tags, block)))).alias("at", "line"))
@@ -157,7 +158,7 @@ def _page_lines(spark, d):
 
 @query("knowledge_units", f"""WITH RECURSIVE {_HEADS}, q AS (SELECT p.*, (SELECT max(x.unit) FROM p x WHERE x.page_id = p.page_id AND x.unit < p.unit AND x.level < p.level) AS parent, (SELECT min(x.first_line) FROM p x WHERE x.page_id = p.page_id AND x.unit > p.unit AND x.level <= p.level) AS ends FROM p),
 w AS (SELECT page_id, unit, heading AS names, parent AS up FROM q UNION ALL SELECT w.page_id, w.unit, q.heading || ' > ' || w.names, q.parent FROM w JOIN q ON q.page_id = w.page_id AND q.unit = w.up)
-SELECT CAST(q.page_id AS VARCHAR) AS path, q.unit, level, names AS heading_path, parent, first_line, coalesce(ends, 4 + 5 * units) - 1 AS last_line FROM q JOIN w ON w.page_id = q.page_id AND w.unit = q.unit WHERE up IS NULL""")
+SELECT CAST(q.page_id AS VARCHAR) AS path, q.unit, level, names AS heading_path, parent, first_line, coalesce(ends, 4 + 7 * units) - 1 AS last_line FROM q JOIN w ON w.page_id = q.page_id AND w.unit = q.unit WHERE up IS NULL""")
 def knowledge_units(spark, d):
     return U.sections(_page_lines(spark, d)).withColumn("heading_path", F.array_join("heading_path", " > "))
 

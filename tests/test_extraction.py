@@ -33,12 +33,6 @@ def lines(spark, text):
     return spark.createDataFrame([("p", i + 1, x) for i, x in enumerate(text.split("\n"))], "path string, line_no long, line string")
 
 
-def test_markdown(spark):
-    text = "# A\n## B\n```\n# not\n```\n### C #\n## D\n# E\n### F"
-    got = [(r.line_no, r.level, r.heading, r.heading_path) for r in E.markdown_sections(lines(spark, text)).orderBy("line_no").collect()]
-    assert got == [(1, 1, "A", "A"), (2, 2, "B", "A > B"), (6, 3, "C", "A > B > C"), (7, 2, "D", "A > D"), (8, 1, "E", "E"), (9, 3, "F", "E > F")]
-
-
 def test_dotenv_imports_signatures(spark):
     env = E.dotenv(lines(spark, "# c\nexport A='x y'\nB = 2\n\nbad"))
     assert [(r.key, r.value) for r in env.collect()] == [("A", "x y"), ("B", "2")]

@@ -11,16 +11,20 @@ from tessera.operators import relations as R, scopes as C, search as S, units as
 
 def plain_units(text: str) -> list[tuple]:
     lines = text.split("\n")
-    kinds, fence, top = [], False, lines[0].rstrip() == "---"
+    kinds, fence, top = [], "", lines[0].rstrip() == "---"
     for i, line in enumerate(lines):
         if top:
             kinds.append("top")
             top = not (i > 0 and line.rstrip() == "---")
-        elif re.match(r" {0,3}(```|~~~)", line):
+        elif fence:
             kinds.append("code")
-            fence = not fence
+            if re.fullmatch(rf" {{0,3}}{fence[0]}{{{len(fence)},}}[ \t]*", line):
+                fence = ""
+        elif m := re.match(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})", line):
+            kinds.append("code")
+            fence = m[1]
         else:
-            kinds.append("code" if fence else "text")
+            kinds.append("text")
     found = []
     for i, line in enumerate(lines):
         if kinds[i] != "text":
@@ -44,7 +48,7 @@ def plain_units(text: str) -> list[tuple]:
 
 def test_sections(spark):
     r = random.Random(2)
-    pieces = ["# One", "## Two ##", "###### deep", "#no", "Title", "=====", "Under", "---", "```", "# in code", "~~~", "", "- item", "> said", "plain words", "### Three", "#"]
+    pieces = ["# One", "## Two ##", "###### deep", "#no", "Title", "=====", "Under", "---", "```", "# in code", "~~~", "````", "~~~~ rust", "```x", "   ```  ", "    ```", "``` a`b", "", "- item", "> said", "plain words", "### Three", "#"]
     texts = ["---\ntitle: x\n# not one\n---\n# A\n## B\n### C\n## D\n# E", "Only text", "", "T\n===\nU\n---\nV\n"]
     texts += ["\n".join(r.choice(pieces) for _ in range(r.randint(1, 25))) for _ in range(120)]
     rows = [(str(k), i + 1, x) for k, t in enumerate(texts) for i, x in enumerate(t.split("\n"))]
@@ -55,6 +59,25 @@ def test_sections(spark):
         assert got.get(str(k), []) == plain_units(t), t
 
 
+@pytest.mark.parametrize("text,want", [
+    ("# A\n```\n~~~\n# not\n```\n# B", ["A", "B"]),
+    ("# Real\n\n```ruby\n# config\n# not\n```\n", ["Real"]),
+    ("# Real\n\n~~~python\n# comment\n~~~\n", ["Real"]),
+    ("# Real\n\n```ruby#6-7\n# phantom\n```\n## Sub\n", ["Real", "Real > Sub"]),
+    ("# Real\n\n```\n# inside\n## also\n", ["Real"]),
+    ("# Real\n\n```\n# inside\n`````\n## After\n", ["Real", "Real > After"]),
+    ("# Real\n\n````\n# inside\n```\n# still\n````\n## After\n", ["Real", "Real > After"]),
+    ("# Top\n\n```ruby\n# config\nend\n```\n\n## Real Sub\n", ["Top", "Top > Real Sub"]),
+    ("# Real\n\n   ```\n# inside\n   ```\n## After\n", ["Real", "Real > After"]),
+    ("# Real\n```\n``` not bare\n# inside\n```\n## After\n``` a`b\n# B", ["Real", "Real > After", "B"]),
+    ("# Real\n    ```\n## After\n~~~~\n~~~\n# x\n~~~~~ \n# B", ["Real", "Real > After", "B"]),
+])
+def test_fences(spark, text, want):
+    rows = [("p", i + 1, x) for i, x in enumerate(text.split("\n"))]
+    got = U.sections(spark.createDataFrame(rows, "path string, line_no long, line string")).orderBy("unit").collect()
+    assert [" > ".join(r.heading_path) for r in got] == want
+
+
 def test_qualified_calls(spark):
     defs = [(1, "f", "src/a.rs", "T"), (2, "f", "src/b/mod.rs", "U"), (3, "f", "lib\\c.rs", "U"), (4, "g", "x/y.rs", None), (5, "h", "p/one.rs", "Same"), (6, "h", "q/two.rs", "Same"), (7, "f", "src/d.rs", "V")]
     calls = {1: ("f", "a::f", 1), 2: ("f", "crate::b::f", 2), 3: ("f", "c::f", 3), 4: ("f", "src::f", None), 5: ("f", "T::f", 1), 6: ("f", "U::f", None), 7: ("g", None, 4), 8: ("h", "Same::h", None), 9: ("f", "f", None), 10: ("f", None, None), 11: ("z", "a::z", None), 12: ("f", "x::V::f", 7), 13: ("h", "q::h", 6)}
