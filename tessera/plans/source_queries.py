@@ -26,10 +26,15 @@ def _filled(text, **columns):
     return out
 
 
+def _parts(spark) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def sources(spark, d):
     """(path, language, content) of all orders; those with status P break off in a call."""
     lines = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("l"))
-    per = lines.groupBy("k").agg(F.sort_array(F.collect_list("l")).alias("l"))
+    # parsing takes far longer than reading, so partitions stay as small as asked for
+    per = lines.repartition(_parts(spark), "k").groupBy("k").agg(F.sort_array(F.collect_list("l")).alias("l"))
     orders = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus").join(per, "k")
     pick = lambda i: F.element_at(F.array(*[F.lit(_HEAD[x][i]) for x in _LANGUAGES]), (F.col("k") % 5 + 1).cast("int"))
     body = F.array_join(F.transform("l", lambda x: _filled(pick(1), n=x["l_linenumber"], p=x["l_partkey"], k=F.col("k"))), "")
@@ -105,7 +110,7 @@ def versions(spark, d):
     """
     parts = T.table(spark, d, "part").select("p_partkey", "p_size")
     items = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p")).distinct()
-    called = lambda rows, key, name: rows.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(name)), lambda x: F.concat(F.lit(f"{'part' if name == 'p' else 'order'}_"), x.cast("string"), F.lit("(n)"))), " + ").alias("calls"))
+    called = lambda rows, key, name: rows.repartition(_parts(spark), key).groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(name)), lambda x: F.concat(F.lit(f"{'part' if name == 'p' else 'order'}_"), x.cast("string"), F.lit("(n)"))), " + ").alias("calls"))
     orders = called(items, "k", "p").select(F.format_string("orders/%d.py", "k").alias("path"), F.lit("python").alias("language"), F.concat(F.format_string("def order_%d(n):\n    return ", "k"), "calls", F.lit("\n")).alias("content"))
     held = T.table(spark, d, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k")).distinct()
     customers = called(held, "c", "k").select(F.format_string("customers/%d.go", "c").alias("path"), F.lit("go").alias("language"), F.concat(F.format_string("package main\n\nfunc customer_%d(n int) int {\n\treturn ", "c"), "calls", F.lit("\n}\n")).alias("content"))
@@ -113,7 +118,8 @@ def versions(spark, d):
     same = orders.unionByName(customers).unionByName(mains)
 
     def of(head, size):
-        return same.unionByName(parts.select(F.format_string("parts/%d.ts", "p_partkey").alias("path"), F.lit("typescript").alias("language"), F.concat(F.lit(head), F.format_string("export function part_%d(n: number): number {\n  return n + %d;\n}\n", F.col("p_partkey"), size)).alias("content")))
+        own = parts.repartition(_parts(spark), "p_partkey")
+        return same.unionByName(own.select(F.format_string("parts/%d.ts", "p_partkey").alias("path"), F.lit("typescript").alias("language"), F.concat(F.lit(head), F.format_string("export function part_%d(n: number): number {\n  return n + %d;\n}\n", F.col("p_partkey"), size)).alias("content")))
 
     return of("", F.col("p_size").cast("long")), of("// moved\n\n", F.when(F.col("p_size") > 45, F.col("p_size") + 1).otherwise(F.col("p_size")).cast("long"))
 
