@@ -10,10 +10,12 @@ first, each with a line for its subject and one for each path:
     M<tab>path
 
 The data source ``commit_log`` plans one partition a segment. It reads the first
-lines to plan, leaves out segments wholly beyond the cut-off (an option, or a
-filter on ``unix`` that Spark pushes down) or behind ``max_commits`` newer
-commits, and a task stops at the first commit that is too old. Files are opened
-by pyarrow's file systems, so also in stores that Python's ``open`` can't reach.
+lines to plan, leaves out segments wholly beyond the cut-off or behind
+``max_commits`` newer commits, and a task stops at the first commit that is too
+old. Both are options: what a filter pushes down stays, in this version of Spark,
+with the loaded table, so another scan of the same frame would lose rows too.
+Files are opened by pyarrow's file systems, so also in stores that Python's
+``open`` can't reach.
 
 :func:`between` and the functions after it name changed paths of versions.
 """
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "oid string, unix long, author string, subject string, status string, path string"
 
@@ -69,15 +71,6 @@ class _Reader(DataSourceReader):
         if self.most is not None and self.most < 0:
             raise ValueError("max_commits is not negative")
 
-    def pushFilters(self, filters: list[Filter]):  # noqa: N802
-        """Takes lower bounds of ``unix``; all other filters stay with Spark."""
-        for f in filters:
-            if isinstance(f, (GreaterThan, GreaterThanOrEqual)) and f.attribute == ("unix",) and isinstance(f.value, int):
-                bound = f.value + isinstance(f, GreaterThan)
-                self.cutoff = bound if self.cutoff is None else max(self.cutoff, bound)
-            else:
-                yield f
-
     def partitions(self) -> list[Segment]:
         store, paths = _files(self.root)
         found = []
@@ -127,10 +120,20 @@ class CommitLog(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CommitLog)
 
 
+def scan(spark: SparkSession, root: str, *, cutoff: int | None = None, max_commits: int | None = None) -> DataFrame:
+    """The log below a folder: commits at or after ``cutoff`` (Unix seconds), the ``max_commits`` newest that have files among them."""
+    register(spark)
+    reader = spark.read.format("commit_log")
+    if cutoff is not None:
+        reader = reader.option("cutoff", cutoff)
+    if max_commits is None:
+        return reader.load(root)
+    return newest(reader.load(root), max_commits)  # a commit without files takes no place, so segments aren't left out by number
+
+
 def write(commits: DataFrame, files: DataFrame, root: str) -> None:
     """Writes commits (oid, unix, author, subject) and their files (oid, status, path) as a log, a segment for each month.
 
