@@ -50,26 +50,41 @@ def _fields(raw: bytes, n: int) -> tuple[list[int], int]:
         end = at
         while raw[end : end + 1].isdigit():
             end += 1
+        if not 0 < end - at < 10:
+            raise ValueError("a number of the header is missing or too large")
         out.append(int(raw[at:end]))
         at = end
+    if 0 in out:
+        raise ValueError("a number of the header is 0")
     return out, at + 1
 
 
 def decode_netpbm(raw: bytes) -> np.ndarray:
-    """P1 to P6 as 8-bit samples; bitmaps are 0 (black) and 255, other depths are scaled to 255."""
+    """P1 to P6 as 8-bit samples; bitmaps are 0 (black) and 255, other depths are scaled to 255.
+
+    Sizes are held against the bytes that are there before anything is made of
+    them; samples above the maximum, and a maximum above 65,535, are damage.
+    """
     kind = int(raw[1:2])
     bitmap, plain, channels = kind in (1, 4), kind <= 3, 3 if kind in (3, 6) else 1
     header, at = _fields(raw, 2 if bitmap else 3)
     w, h, most = header[0], header[1], 1 if bitmap else header[2]
+    count = w * h * channels
+    least = count if plain else (w + 7) // 8 * h if bitmap else count * (2 if most > 255 else 1)
+    if most > 65_535 or least > len(raw) - at:
+        raise ValueError("fewer samples than the header says, or too high a maximum")
     if plain:
         lines = b"\n".join(x.split(b"#")[0] for x in raw[at - 1 :].split(b"\n"))
         digits = [*b"".join(lines.split())] if bitmap else None
-        values = np.array([d - 48 for d in digits] if bitmap else lines.split(), np.int64)[: w * h * channels]
+        told = [d - 48 for d in digits[:count]] if bitmap else [int(x) if x.isdigit() and len(x) < 6 else -1 for x in lines.split()[:count]]
+        values = np.array(told, np.int64)
     elif bitmap:
         stride = (w + 7) // 8
         values = np.unpackbits(np.frombuffer(raw, np.uint8, stride * h, at).reshape(h, stride), axis=1)[:, :w].ravel().astype(np.int64)
     else:
-        values = np.frombuffer(raw, ">u2" if most > 255 else np.uint8, w * h * channels, at)
+        values = np.frombuffer(raw, ">u2" if most > 255 else np.uint8, count, at)
+    if len(values) != count or (most != 255 and (values.min() < 0 or values.max() > most)) or (plain and (values.min() < 0 or values.max() > most)):
+        raise ValueError("a sample is missing or out of range")
     if bitmap:
         values = 1 - values
     if most != 255:
@@ -87,12 +102,18 @@ def decode_bmp(raw: bytes) -> np.ndarray:
     """Uncompressed BMP of 8 (palette), 24 or 32 bits a pixel, as RGB."""
     at, header = struct.unpack_from("<I", raw, 10)[0], struct.unpack_from("<I", raw, 14)[0]
     w, h, _, bits, packing = struct.unpack_from("<iiHHI", raw, 18)
-    if packing not in (0, 3) or bits not in (8, 24, 32) or w <= 0:
+    if packing not in (0, 3) or bits not in (8, 24, 32) or w <= 0 or h == 0:
         raise ValueError("not an uncompressed BMP of 8, 24 or 32 bits")
+    if packing == 3 and (bits != 32 or struct.unpack_from("<3I", raw, 54) != (0xFF0000, 0xFF00, 0xFF)):
+        raise ValueError("a BMP with colour masks of its own")
     stride = (w * bits // 8 + 3) // 4 * 4
+    if stride * abs(h) > len(raw) - at:
+        raise ValueError("fewer rows than the header says")
     rows = np.frombuffer(raw, np.uint8, stride * abs(h), at).reshape(abs(h), stride)[:, : w * bits // 8]
     if bits == 8:
         colours = struct.unpack_from("<I", raw, 46)[0] or 256
+        if colours > 256:
+            raise ValueError("more colours than 8 bits name")
         palette = np.frombuffer(raw, np.uint8, 4 * colours, 14 + header).reshape(-1, 4)[:, 2::-1]
         image = palette[rows]
     else:

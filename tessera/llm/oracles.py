@@ -84,3 +84,20 @@ starts AS (
 SELECT t.conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, n_windows
 FROM texts t JOIN sums s ON s.conv_id IS NOT DISTINCT FROM t.conv_id
 """
+
+#: The checksum of each distinct feature, byte by byte with a table of 256 registers; then counts, gains, weights and ranks.
+IMPORTANCE = r"""WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS t),
+raw AS (SELECT 0 AS target, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT target, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM raw),
+f AS (SELECT target, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM w),
+n AS (SELECT target, id, f, count(*) AS n FROM f GROUP BY ALL),
+d AS (SELECT f, hex(f) AS h FROM (SELECT DISTINCT f FROM n)),
+c AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(h), 2), lambda i: CAST((instr('0123456789ABCDEF', h[i]) - 1) * 16 + instr('0123456789ABCDEF', h[i + 1]) - 1 AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM d, tab),
+b AS (SELECT target, id, bucket, sum(n) AS n FROM n JOIN c USING (f) GROUP BY ALL),
+k AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE target = 0), 0) AS s, coalesce(sum(n) FILTER (WHERE target = 1), 0) AS t FROM b GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln(CAST((t + 1) * ((SELECT sum(s) FROM k) + 10000) AS DOUBLE) / CAST((s + 1) * ((SELECT sum(t) FROM k) + 10000) AS DOUBLE))) AS gain FROM k),
+x AS (SELECT id, sum(n) AS n_features, sum(n * gain) AS weight FROM b JOIN g USING (bucket) WHERE target = 0 GROUP BY id),
+y AS (SELECT id AS doc_id, len(w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || id), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score FROM w LEFT JOIN x USING (id) WHERE target = 0),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM y WHERE n_words >= 20)
+SELECT y.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 5 // 100 FROM r) THEN rank END AS rank FROM y LEFT JOIN r USING (doc_id)"""

@@ -7,7 +7,8 @@ place (or a new sequence) after which the sum of N(g)**2 is smallest; ties go to
 the fullest sequence. It uses 2 * capacity numbers however many pieces there
 are.
 
-Scale. Pieces are dealt out by hash to groups of about ``GROUP`` rows, each
+Scale. Written pieces are numbered and dealt out by their number, in turn, to
+groups of at most ``GROUP`` rows, however many of them are equal; each group is
 packed by one task on its own, and the number of groups grows with the input.
 Further rounds pack the sequences that stayed open, as they are, in groups drawn
 from many of the round before, until one group holds them all or a round saves
@@ -30,7 +31,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, functions as F
 
 from tessera.llm import _bytes as B
 from tessera.llm._cache import SliceCache
@@ -138,20 +139,16 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 
 def _pack(capacity: int, schema: pa.Schema, round_: int):
-    """Packs all rows of a partition (``part`` names it): ``length`` each, the longest first."""
+    """Packs all rows of a group (``part`` names it): ``length`` each, the longest first."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        rows = pa.Table.from_batches(rows)
+    def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("length", "descending"), *((k, "ascending") for k in ("id", "piece", "start", "sequence_id") if k in rows.column_names)])
         bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity)
         base = (round_ << 60) + (rows["part"][0].as_py() << 32)
         used = np.bincount(bins, rows["length"].to_numpy()).astype(np.int64)[bins]
         for name, x in (("bin", base + bins), ("at", offsets), ("used", used)):
             rows = rows.append_column(name, pa.array(x))
-        yield from rows.select(schema.names).cast(schema).combine_chunks().to_batches()
+        return rows.select(schema.names).cast(schema)
 
     return run
 
@@ -163,30 +160,38 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     return texts.mapInArrow(_tokenize(tokenizer, capacity, end), "id long, piece int, start long, length long, ids binary")
 
 
-def _dealt(rows: DataFrame, groups: int, *keys) -> DataFrame:
-    """Rows dealt out by a hash, with the number of their partition."""
-    return rows.repartition(groups, F.xxhash64(*keys)).withColumn("part", F.spark_partition_id())
+def _grouped(rows: DataFrame, part: Column, groups: int) -> GroupedData:
+    """Groups named by ``part``, about one for each of ``groups`` tasks."""
+    return rows.withColumn("part", part.cast("long")).repartition(groups, "part").groupBy("part")
+
+
+def in_turn(number: Column, groups: int) -> Column:
+    """Groups that differ by at most a row for each partition the numbers (of ``monotonically_increasing_id``) come from."""
+    within, partition = number.bitwiseAND(F.lit((1 << 33) - 1)), F.shiftright(number, 33)
+    return F.pmod(within + partition, F.lit(groups))
 
 
-def _groups(rows: DataFrame, group: int) -> int:
-    return max(1, -(-rows.count() // group))
+def _groups(rows: int, group: int, spare: int = 0) -> int:
+    """How many groups of at most ``group`` rows there are, if each may get ``spare`` more than its share."""
+    return max(1, -(-rows // (group - spare if group > 2 * spare else group)))
 
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """``pieces`` (id, piece, start, length and a checksum ``crc``) with ``sequence_id`` and ``offset``."""
     fields = "id long, piece int, start long, length long, crc long"
-    # narrow rows, written in few files however many tasks tokenise
-    pieces = cut(pieces.select("id", "piece", "start", "length", "crc").repartition(4 * max(pieces.sparkSession.sparkContext.defaultParallelism, 2)), "pieces")
-    groups = _groups(pieces, group)
+    # narrow rows, written in few files however many tasks tokenise; their numbers are written with them
+    files = 4 * max(pieces.sparkSession.sparkContext.defaultParallelism, 2)
+    pieces = cut(pieces.select("id", "piece", "start", "length", "crc").repartition(files).withColumn("n", F.monotonically_increasing_id()), "pieces")
+    groups = _groups(pieces.count(), group, files)
     schema = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64()), ("bin", pa.int64()), ("at", pa.int64()), ("used", pa.int64())])
-    first = cut(fewer_files(_dealt(pieces, groups, "id", "piece", "crc").mapInArrow(_pack(capacity, schema, 0), f"{fields}, bin long, at long, used long")), "packed")
+    first = cut(fewer_files(_grouped(pieces, in_turn(F.col("n"), groups), groups).applyInArrow(_pack(capacity, schema, 0), f"{fields}, bin long, at long, used long")), "packed")
     # sequences that stayed open are items of the next round, as they are
     level = first.where(F.col("used") < capacity).where("at = 0").select(F.col("bin").alias("sequence_id"), F.col("used").alias("length"))
     merged_schema = pa.schema([("sequence_id", pa.int64()), ("bin", pa.int64()), ("at", pa.int64()), ("used", pa.int64())])
     moved, number, groups = None, 1, -(-groups // 16)
     while True:
-        dealt = _dealt(level, groups, "sequence_id", F.lit(number))
-        merged = cut(fewer_files(dealt.mapInArrow(_pack(capacity, merged_schema, number), "sequence_id long, bin long, at long, used long")), "merged")
+        dealt = _grouped(level, F.pmod(F.xxhash64("sequence_id", F.lit(number)), F.lit(groups)), groups)
+        merged = cut(fewer_files(dealt.applyInArrow(_pack(capacity, merged_schema, number), "sequence_id long, bin long, at long, used long")), "merged")
         step = merged.select(F.col("sequence_id").alias("now"), F.col("bin").alias("new"), F.col("at").alias("by"))
         if moved is None:
             moved = step.select(F.col("now").alias("bin"), F.col("new").alias("new_bin"), F.col("by").alias("shift"))
@@ -196,6 +201,6 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, group: int = GROUP) ->
         if groups == 1 or made.after * 100 > made.before * 99 or number == ROUNDS:
             break
         level = merged.where(F.col("used") < capacity).where("at = 0").select(F.col("bin").alias("sequence_id"), F.col("used").alias("length"))
-        number, groups = number + 1, _groups(level, group)
+        number, groups = number + 1, _groups(level.count(), group)
     out = fewer_files(first.join(moved, "bin", "left"))
     return out.select("id", "piece", "start", "length", "crc", F.coalesce("new_bin", "bin").alias("sequence_id"), (F.col("at") + F.coalesce("shift", F.lit(0))).alias("offset"))

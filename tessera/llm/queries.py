@@ -88,4 +88,4 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_chat_windows, op3_suffix_dedup, op4_best_fit_packing, op5_secret_scan, op6_merkle_fingerprints, op7_quality_neighbours, op8_license_scan, op9_media_columns, op10_byte_bpe, op11_importance_resampling, op12_tree_bpe, op13_embedding_whitening)}
 
 #: The others can't be put in SQL; each is tested against a brute-force version in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op1_minhash_near_dedup": oracles.NEAR_DEDUP, "op2_chat_windows": oracles.CHAT, "op3_suffix_dedup": oracles.REPEATS}
+ORACLE_SQL: dict[str, str] = {"op1_minhash_near_dedup": oracles.NEAR_DEDUP, "op2_chat_windows": oracles.CHAT, "op3_suffix_dedup": oracles.REPEATS, "op11_importance_resampling": oracles.IMPORTANCE}

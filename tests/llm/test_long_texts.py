@@ -1,6 +1,7 @@
 """Texts of a megabyte and more, single words of that size, many secrets, and strings made to collide."""
 
 import random
+import struct
 import time
 
 import numpy as np
@@ -210,3 +211,40 @@ def test_spans_of_a_long_text_by_columns(spark):
     df = frame(spark, ["token=abcdefgh " * 70_000, None, ""])
     rows = secrets.scan(df).select("doc_id", F.col("n_assign")).orderBy("doc_id").collect()
     assert [(r.doc_id, r.n_assign) for r in rows] == [(0, 70_000), (1, 0), (2, 0)]
+
+
+@pytest.mark.parametrize("raw", [
+    b"P6 99999999999999999999 1 255\n" + b"x" * 30, b"P4 99999999999999999999 1\n" + b"x" * 30, b"P6 2147483647 2147483647 255\nabc", b"P5 3 3 0\nabcdefghi", b"P5 3 3 70000\nabcdefghi" * 3,
+    b"P2 1 1 255\n99999999999999999999999", b"P2 1 1 255\n256", b"P2 1 1 9\n10", b"P2 1 1 9\n-1", b"P2 2 1 9\n1", b"P1 2 1\n7 0", b"P1 2 1\n0", b"P5 1 1 99999999999999\na", b"P5 2 2 100\n" + bytes([1, 2, 3, 101]), b"P5 0 3 255\n", b"P6", b"P3 #", b"P5 1 1", b"P7 1 1 255\na", b"P5 -1 1 255\na",
+    struct.pack("<2sIHHI", b"BM", 54, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2**31 - 1, 2**31 - 1, 1, 24, 0, 0, 0, 0, 0, 0), struct.pack("<2sIHHI", b"BM", 54, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 1, -(2**31), 1, 32, 0, 0, 0, 0, 0, 0), struct.pack("<2sIHHI", b"BM", 58, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 1, 0, 1, 24, 0, 0, 0, 0, 0, 0) + b"abcd",
+    struct.pack("<2sIHHI", b"BM", 62, 0, 0, 58) + struct.pack("<IiiHHIIiiII", 40, 1, 1, 1, 8, 0, 4, 0, 0, 2**32 - 1, 0) + b"\0" * 8, struct.pack("<2sIHHI", b"BM", 70, 0, 0, 66) + struct.pack("<IiiHHIIiiII", 40, 1, 1, 1, 32, 3, 4, 0, 0, 0, 0) + struct.pack("<4I", 1, 2, 4, 0),
+])
+def test_damaged_images_are_null(raw):
+    assert media.decode_image(raw) is None
+
+
+def test_random_bytes_are_no_crash(spark):
+    r = random.Random(12)
+    image = np.arange(48, dtype=np.uint8).reshape(4, 4, 3)
+    whole = [media.encode_netpbm(image), media.encode_bmp(image), b"P2 2 2 9\n1 2 3 9", b"P1 2 2\n1 0 0 1", b"P4 9 1\nab", b"P5 1 2 65535\nabcd"]
+    assert all(media.decode_image(x) is not None for x in whole)
+    cases = [bytes(r.randrange(256) if r.random() < 0.05 else b for b in r.choice(whole)) for _ in range(3000)]
+    cases += [r.choice(whole)[: r.randrange(60)] for _ in range(500)] + [r.choice([b"BM", b"P%d" % r.randint(0, 9)]) + r.randbytes(r.randrange(80)) for _ in range(1500)]
+    cases += [b"P%d %d %d %d\n" % (r.randint(1, 6), r.choice([0, 1, 2, 10**30, 2**31]), r.choice([1, 2, 2**40]), r.choice([0, 1, 255, 256, 65535, 65536])) + r.randbytes(20) for _ in range(1500)]
+    out = media.describe(spark.createDataFrame([(i, None if c is None else bytearray(c)) for i, c in enumerate([*whole, *cases, None])], "id long, media binary")).collect()
+    assert len(out) == len(whole) + len(cases) + 1 and all(x.width for x in out if x.id < len(whole))
+    assert all((x.width is None) == (x.tile is None) == (x.dhash is None) for x in out)
+
+
+def test_equal_pieces_are_dealt_evenly(spark):
+    """A hot id, or none: 200,000 equal rows meant for 8 groups, and no group has more than its bound."""
+    files = 4 * spark.sparkContext.defaultParallelism
+    rows = spark.range(200_000).select(F.lit(None).cast("long").alias("id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(7).cast("long").alias("length"), F.lit(5).cast("long").alias("crc"))
+    groups = packing._groups(200_000, 25_100, files)
+    numbered = rows.repartition(files).withColumn("n", F.monotonically_increasing_id())
+    sizes = [r["count"] for r in numbered.groupBy(packing.in_turn(F.col("n"), groups)).count().collect()]
+    assert len(sizes) == groups == 9 and max(sizes) <= 25_100 and max(sizes) - min(sizes) <= files
+    out = packing.pack(rows.limit(20_000), group=5_000)
+    full = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count_distinct("offset").alias("places"), F.count("*").alias("rows"))
+    got = full.agg(F.sum("rows"), F.max("n"), F.count("*"), F.count_if("places <> rows")).first()
+    assert tuple(got) == (20_000, 2044, 69, 0)
