@@ -45,7 +45,7 @@ from tessera.llm.byte_bpe import boundaries
 #: Bytes up to which a stretch is encoded in one go.
 PIECE = 1 << 10
 #: Bytes of a text's part that is dealt out as a row.
-LEAF = 1 << 18
+LEAF = 1 << 16
 #: Groups into which rows of one long text are dealt.
 SALTS = 16
 #: Tokens on each side of a join that are encoded anew first.
