@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import secrecy as Y, structure as X
 from tessera.plans.registry import query
+from tessera.plans.source_queries import _SQL, sources
 from tessera.scratch import root
 from tessera.sources import commit_log as L, ignore as G, tables as T
 
@@ -88,3 +90,32 @@ def ref_catalog(spark, d):
 @query("ref_remainder", f"{_REFS} SELECT ref, count(*) AS n_files, CAST(sum(byte_len) AS BIGINT) AS bytes FROM s WHERE NOT (b <= 20000 AND n <= 60) GROUP BY ref")
 def ref_remainder(spark, d):
     return _refs(spark, d)[1]
+
+
+def _count(rule: Y.Rule) -> str:
+    """How often a rule finds something in documents, which are no source code, in SQL."""
+    worth = " OR ".join(f"contains(lower(content), '{w}')" for w in rule.words)
+    pattern = rule.pattern.replace("'", "''")
+    if not rule.assigned:
+        return f"CASE WHEN {worth} THEN len(regexp_extract_all(content, '{pattern}')) ELSE 0 END"
+    plain = "trim(lower(x), '\"''`<>[]')"
+    names = ", ".join(f"'{p}'" for p in Y.PLACEHOLDERS)
+    holder = f"({plain} IN ({names}) OR starts_with({plain}, 'your_') OR starts_with({plain}, 'your-') OR regexp_matches({plain}, '{Y._EXPRESSION}'))"
+    return f"CASE WHEN {worth} THEN len(list_filter(regexp_extract_all(content, '{pattern}', 1), lambda x: NOT {holder})) ELSE 0 END"
+
+
+_COUNTS = ", ".join(f"{_count(r)} AS c{i}" for i, r in enumerate(Y.RULES))
+_IDS = ", ".join(f"CASE WHEN c{i} > 0 THEN '{r.name}' END" for i, r in enumerate(Y.RULES))
+
+
+@query("secret_screen", f"""WITH f AS (SELECT source || '/' || lang || '/' || doc_id AS path, text AS content FROM documents), c AS (SELECT path, content, {_COUNTS} FROM f)
+SELECT path, CASE WHEN content IS NULL OR octet_length(encode(content)) > 4194304 THEN 'indeterminate' WHEN c0 + c1 + c2 + c3 + c4 > 0 THEN 'sensitive' ELSE 'clean' END AS state, array_to_string(list_filter([{_IDS}], lambda x: x IS NOT NULL), ',') AS rule_ids, coalesce(c0 + c1 + c2 + c3 + c4, 0) AS findings, (content IS NULL OR octet_length(encode(content)) > 4194304 OR c0 + c1 + c2 + c3 + c4 > 0) AS withheld FROM c""")
+def secret_screen(spark, d):
+    docs = T.table(spark, d, "documents")
+    return Y.screen(docs.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content")))
+
+
+@query("structural_checks", f"""{_SQL} SELECT path, 'check!("}}", LIMIT_' || k || ')' AS code, '"}}"' AS first, 'LIMIT_' || k AS second FROM l WHERE lang = 0""")
+def structural_checks(spark, d):
+    met = X.structural(sources(spark, d), "check!($FIRST, $SECOND)", "rust")
+    return met.select("path", "code", F.col("captures")["FIRST"].alias("first"), F.col("captures")["SECOND"].alias("second"))
