@@ -14,7 +14,7 @@ import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SYMBOLS = "path string, ordinal int, name string, kind string, depth int, first_line int, last_line int"
 REFERENCES = "path string, name string, kind string, line int, enclosing int"
@@ -133,7 +133,12 @@ def flatten(text: str | None, *, depth: int = 6, items: int = 20, language: str
 
 
 def json_keys(files: DataFrame, id_col: str = "path", text_col: str = "content", *, language: str = "json") -> DataFrame:
-    """A row for each dotted key of JSON (or TOML, or YAML) texts."""
+    """A row for each dotted key (id, key, value) of JSON (or TOML, or YAML) texts; damaged texts give none.
+
+    JSON stays in the JVM, see :func:`json_fields`.
+    """
+    if language == "json":
+        return json_fields(files, id_col, text_col)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -142,6 +147,33 @@ def json_keys(files: DataFrame, id_col: str = "path", text_col: str = "content",
     return files.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id string, key string, value string")
 
 
+def plain_json(text: Column) -> Column:
+    """JSON without comments and trailing commas; what stands in strings stays."""
+    string = r'"(?:[^"\\]|\\.)*"'
+    bare = F.regexp_replace(text, rf"({string})|//[^\n]*|/\*[\s\S]*?\*/", "$1")
+    return F.regexp_replace(bare, rf"({string})|,(?=\s*[}}\]])", "$1")
+
+
+def json_fields(files: DataFrame, id_col: str = "path", text_col: str = "content", *, depth: int = 6, items: int = 20) -> DataFrame:
+    """Dotted keys and values (id, key, value) of JSON texts with comments and trailing commas, to a depth and a number of array items.
+
+    A text becomes a variant once; each level opens the objects and arrays of the
+    level before and leaves all else as it is. Texts of values stand without
+    quotes, what lies deeper as JSON. Empty objects and arrays give no row, nor do
+    texts that are no JSON or repeat a key.
+    """
+    tvf = files.sparkSession.tvf
+    rows = files.select(F.col(id_col).cast("string").alias("id"), F.lit("").alias("key"), F.try_parse_json(plain_json(F.col(text_col))).alias("v")).where("v IS NOT NULL")
+    nested = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
+    for _ in range(depth):
+        opened = rows.lateralJoin(tvf.variant_explode_outer(F.col("v").outer()).toDF("_pos", "_key", "_value"))
+        inner = F.when(F.col("_key").isNull(), F.concat("key", F.lit("["), F.col("_pos").cast("string"), F.lit("]"))).when(F.col("key") == "", F.col("_key")).otherwise(F.concat("key", F.lit("."), "_key"))
+        kept = opened.where((F.col("_pos").isNull() & ~nested) | F.col("_key").isNotNull() | (F.col("_pos") < items))
+        rows = kept.select("id", F.when(F.col("_pos").isNull(), F.col("key")).otherwise(inner).alias("key"), F.when(F.col("_pos").isNull(), F.col("v")).otherwise(F.col("_value")).alias("v"))
+    told = F.when(F.schema_of_variant("v") == "STRING", F.variant_get("v", "$", "string")).otherwise(F.to_json("v"))
+    return rows.where("key <> ''").select("id", "key", told.alias("value"))
+
+
 def dotenv(lines: DataFrame) -> DataFrame:
     """Keys and values of dotenv lines; comments and blanks are left out."""
     pattern = r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_.]*)\s*=\s*(.*?)\s*$"

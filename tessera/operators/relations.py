@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.operators.ranking import global_row_number
 from tessera.scratch import cut
 
 
@@ -71,6 +74,38 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return visited.where("hop > 0")
 
 
+@dataclass(frozen=True)
+class Reached:
+    """``nodes`` (node, hop) and whether there were more than asked for."""
+
+    nodes: DataFrame
+    truncated: bool
+
+
+def bounded_reach(edges: DataFrame, seeds: DataFrame, depth: int, most: int) -> Reached:
+    """:func:`reach` with at most ``most`` nodes: the nearest, of one hop those with more edges into the hop before, then by node.
+
+    Only the hop that crosses the bound is put in order, by ranges; it ends the
+    search, so no hop is longer than what is left.
+    """
+    visited = cut(seeds.select("node").distinct().withColumn("hop", F.lit(0).cast("long")), "hop")
+    frontier, left, truncated = visited, most, False
+    for hop in range(1, depth + 1):
+        into = edges.join(frontier.select(F.col("node").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("node")).agg((-F.count_distinct("dst")).alias("_order"))
+        found = cut(into.join(visited, "node", "left_anti"), "hop")
+        n = found.count()
+        if not n:
+            break
+        if n > left:
+            truncated = True
+            found = global_row_number(found, ["_order", "node"], "_nth").where(F.col("_nth") <= left) if left else found.where("false")
+        frontier = cut(found.select("node", F.lit(hop).cast("long").alias("hop")), "hop") if truncated else found.select("node", F.lit(hop).cast("long").alias("hop"))
+        visited, left = visited.unionByName(frontier), left - min(n, left)
+        if truncated:
+            break
+    return Reached(visited.where("hop > 0"), truncated)
+
+
 def risk(hop: Column, entry: Column) -> Column:
     return F.when((hop == 1) & entry, "critical").when(hop == 1, "high").when(hop == 2, "medium").otherwise("low")
 

@@ -37,6 +37,15 @@ def blast_radius(spark, d):
     return found.join(parts, "node").select("node", "hop", R.risk(F.col("hop"), F.col("p_size") > 45).alias("risk"))
 
 
+@query("blast_radius_bounded", f"""{_EDGES}, reach(node, hop) AS (SELECT DISTINCT p_partkey, 0 FROM part WHERE p_partkey % 100 = 11 UNION SELECT e.src, r.hop + 1 FROM reach r JOIN edges e ON e.dst = r.node WHERE r.hop < 3),
+best AS (SELECT node, min(hop) AS hop FROM reach GROUP BY node), deg AS (SELECT x.node, x.hop, count(*) AS n FROM best x JOIN edges e ON e.src = x.node JOIN best y ON e.dst = y.node AND y.hop = x.hop - 1 WHERE x.hop > 0 GROUP BY ALL)
+SELECT node, CAST(hop AS BIGINT) AS hop, (SELECT count(*) FROM deg) > 1000 AS truncated FROM deg ORDER BY hop, n DESC, node LIMIT 1000""")
+def blast_radius_bounded(spark, d):
+    seeds = T.table(spark, d, "part").select(F.col("p_partkey").alias("node")).where("node % 100 = 11")
+    found = R.bounded_reach(edges(spark, d), seeds, 3, 1000)
+    return found.nodes.withColumn("truncated", F.lit(found.truncated))
+
+
 @query("resolve_unique", """SELECT s_suppkey AS call, name, node FROM (SELECT s_suppkey, lower(n_name) AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey) c
 JOIN (SELECT lower(n_name) AS name, min(n_nationkey) AS node, count(*) AS n FROM nation GROUP BY 1 HAVING count(*) = 1) USING (name)""")
 def resolve_unique(spark, d):
