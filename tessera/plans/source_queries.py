@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import impact as I, sourcecode as S
+from tessera.operators import impact as I, sourcecode as S, symbolviews as W
 from tessera.plans.registry import query
+from tessera.scratch import cut
 from tessera.sources import tables as T
 
 #: A file for each order: its language by its key, a method for each of its lines.
@@ -159,3 +160,33 @@ SELECT list, total, least(total, 200) AS returned, total > 200 AS truncated FROM
 UNION ALL SELECT 'risk:' || r, (SELECT count(*) FROM blast WHERE risk = r), NULL, false FROM (SELECT unnest(['critical', 'high', 'medium', 'low']) AS r)""")
 def impact_counts(spark, d):
     return _impact(spark, d).counts()
+
+
+def _asked(facts, only=None):
+    """A request for each function of the program (or of some files), named path::name."""
+    own = S.symbols(facts).where("kind = 'function'")
+    own = own if only is None else own.where(only)
+    return own.select(I.node().alias("request"), "path", "name", "kind", F.lit(None).cast("int").alias("line")).distinct()
+
+
+_CALLS = """WITH o AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS p FROM lineitem), h AS (SELECT DISTINCT o_custkey AS c, o_orderkey AS k FROM orders), u AS (SELECT DISTINCT k FROM o),
+e AS (SELECT 'orders/' || k || '.py::order_' || k AS request, 'callees' AS section, 'part_' || p AS name FROM o UNION ALL SELECT 'customers/' || c || '.go::customer_' || c, 'callees', 'order_' || k FROM h UNION ALL SELECT 'nations/' || (p_partkey % 25) || '.rs::main', 'callees', 'part_' || p_partkey FROM part
+UNION ALL SELECT 'parts/' || p || '.ts::part_' || p, 'callers', 'part_' || p FROM o WHERE p IN (SELECT p_partkey FROM part) UNION ALL SELECT 'parts/' || p_partkey || '.ts::part_' || p_partkey, 'callers', 'part_' || p_partkey FROM part UNION ALL SELECT 'orders/' || k || '.py::order_' || k, 'callers', 'order_' || k FROM h JOIN u USING (k))"""
+
+
+@query("symbol_totals", f"""{_CALLS} SELECT request, section, count(*) AS total, count(DISTINCT name) AS names, greatest(count(*) - 20, 0) AS overflow FROM e GROUP BY request, section""")
+def symbol_totals(spark, d):
+    program = versions(spark, d)[1]
+    facts = cut(S.extract(program), "facts")
+    return W.totals(W.entries(_asked(facts), facts, program, sections=("callers", "callees", "siblings")))
+
+
+@query("symbol_bundles", """WITH c AS (SELECT DISTINCT l_partkey AS p, 'orders/' || l_orderkey || '.py' AS path, 2 AS line, 'in function order_' || l_orderkey AS detail FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part) UNION ALL SELECT p_partkey, 'nations/' || (p_partkey % 25) || '.rs', 3, 'in function main' FROM part),
+n AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY path, line) AS nth FROM c)
+SELECT 'parts/' || p || '.ts::part_' || p AS request, 'callers' AS section, nth, 'part_' || p AS name, path, line, detail FROM n WHERE nth <= 20
+UNION ALL SELECT 'parts/' || p_partkey || '.ts::part_' || p_partkey, 'body', 1, 'part_' || p_partkey, 'parts/' || p_partkey || '.ts', 3, 'function part_' || p_partkey || '(n: number): number {' || chr(10) || '  return n + ' || CASE WHEN p_size > 45 THEN p_size + 1 ELSE p_size END || ';' || chr(10) || '}' FROM part""")
+def symbol_bundles(spark, d):
+    program = versions(spark, d)[1]
+    facts = cut(S.extract(program), "facts")
+    every = W.entries(_asked(facts, F.col("path").startswith("parts/")), facts, program, sections=("body", "callers"))
+    return W.shown(every).select("request", "section", "nth", "name", "path", "line", "detail")
