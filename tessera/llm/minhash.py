@@ -17,10 +17,11 @@ paired (a partially aggregated minimum). Buckets above ``BLOCK`` members are
 dealt out as pairs of blocks, so no task holds an unbounded group, and a task
 gives out a forest of close pairs instead of all pairs. In a family of more than
 two ``FAMILY_BLOCK`` members the forest's pairs are confirmed first (a hub's
-pairs are salted); then only members outside the family's main component are
-compared with the family, in blocks, so a family of near copies of one text
-costs in proportion to its size. Links, families and components stay distributed
-tables.
+pairs are salted). Then buckets are looked through again for close pairs between
+parts that this left apart; only these meet on full sets, in groups of two blocks
+of the family, to which no member goes that has no such pair there. So near copies
+of one text, and chains of texts that fall apart, cost in proportion to their
+close pairs. Links, families and components stay distributed tables.
 
 Recall. The rows of a band are chosen so that a pair exactly at the threshold
 misses all bands with a probability below 1e-6.
@@ -229,6 +230,38 @@ def _close(lanes: int):
     return run
 
 
+_MET = pa.schema([("family", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("id", pa.int64())])
+
+
+def _across(lanes: int):
+    """Where close pairs of different parts meet: (family, i, j, id), each once a batch.
+
+    Blocks of a family go by ``own``; a pair meets where its two blocks do.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, ["key", "i", "j"]):
+            key, i, j, ids, part, own, family = (rows[c].to_numpy() for c in ("key", "i", "j", "id", "part", "own", "family"))
+            packed = rows["signature"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, _SIGNATURE)
+            at = group_starts(key, i, j)
+            found = [np.zeros((0, 4), np.int64)]
+            for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                names, many = np.unique(part[s:e], return_counts=True)
+                usual = names[many.argmax()]  # of two parts one is another, so only rows of others look for partners
+                for r in (s + np.flatnonzero(part[s:e] != usual)).tolist():
+                    near = s + np.flatnonzero(part[s:e] != part[r])
+                    near = near[(near > r) | (part[near] == usual)]
+                    near = near[equal_lanes(packed[r], packed[near]) >= lanes]
+                    if len(near):
+                        low, high = np.minimum(own[near], own[r]), np.maximum(own[near], own[r])
+                        pair = np.stack([np.full(len(near), family[r]), low, high], 1)
+                        found.append(np.concatenate([np.column_stack([pair, ids[near]]), np.unique(np.column_stack([pair, np.full(len(near), ids[r])]), axis=0)]))
+            met = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(met[:, k]).cast(f.type) for k, f in enumerate(_MET)], schema=_MET)
+
+    return run
+
+
 def _shared(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of all pairs of m sets: an m x m matrix."""
     m = len(lengths)
@@ -293,10 +326,11 @@ def _blocks(rows: DataFrame, key: str) -> DataFrame:
     return rows.where(~same).withColumn("i", F.when(one, 0).otherwise(F.least("_own", "_other"))).withColumn("j", F.when(one, 0).otherwise(F.greatest("_own", "_other"))).drop("_n", "_blocks", "_own", "_other")
 
 
-def _large(sets: DataFrame, members: DataFrame, close: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """For large families: links among the close pairs, and the groups in which the members these leave open meet all others.
+def _large(sets: DataFrame, members: DataFrame, close: DataFrame, keyed: DataFrame, lanes: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """For large families: links among the close pairs, and the groups in which close pairs of parts that are still apart meet.
 
-    ``sets`` is (id, shingles), ``members`` (family, id, n), ``close`` pairs (u, v).
+    ``sets`` is (id, shingles), ``members`` (family, id, n), ``close`` pairs (u, v),
+    ``keyed`` (id, signature, key), a row for each bucket of a document.
     """
     pairs = close.join(members.select(F.col("id").alias("u")), "u")
     hubs = pairs.groupBy("v").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("salts"))
@@ -310,16 +344,12 @@ def _large(sets: DataFrame, members: DataFrame, close: DataFrame, num: int, den:
 
     parts = connected_components(confirmed)
     named = members.join(parts, members.id == parts.node, "left").select("family", "id", "n", F.coalesce("component", "id").alias("part"))
-    counts = named.groupBy("family", "part").agg(F.count("*").alias("size"))
-    main = counts.groupBy("family").agg(F.max_by("part", F.struct("size", "part")).alias("main"), (F.sum("size") - F.max("size")).alias("open_members"))
-    named = named.join(main.where("open_members > 0"), "family").withColumn("open", F.col("part") != F.col("main"))
-    blocks, open_blocks = (F.ceil(F.col(c) / FAMILY_BLOCK).cast("int") for c in ("n", "open_members"))
-    named = named.withColumn("blocks", blocks).withColumn("open_blocks", open_blocks)
-    own = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    one_side = named.where("open").select("family", own("open_blocks").alias("i"), every("blocks").alias("j"), "id", "open")
-    other = named.select("family", every("open_blocks").alias("i"), own("blocks").alias("j"), "id", "open")
-    return confirmed, one_side.unionByName(other).distinct().join(sets, "id").select("family", "i", "j", "id", "open", "shingles")
+    apart = named.groupBy("family").agg((F.min("part") != F.max("part")).alias("apart")).where("apart").select("family")
+    named = named.join(apart, "family", "left_semi").withColumn("own", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / FAMILY_BLOCK)).cast("int"))
+    held = keyed.join(named.select("id", "family", "part", "own"), "id")
+    buckets = _blocks(held, "key").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    met = buckets.select("key", "i", "j", "id", "part", "own", "family", "signature").mapInArrow(_across(lanes), "family long, i int, j int, id long").distinct()
+    return confirmed, met.join(sets, "id").select("family", "i", "j", "id", F.lit(True).alias("open"), "shingles")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -356,7 +386,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     confirmed = None
     if not large.isEmpty():
         held = cut(sets(large), "sets")
-        confirmed, more = _large(held, large, close, num, den)
+        confirmed, more = _large(held, large, close, members, lanes, num, den)
         dealt = dealt.unionByName(more)
     dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "id")
     links = dealt.mapInArrow(_confirm(num, den), "u long, v long")

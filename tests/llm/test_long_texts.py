@@ -240,11 +240,11 @@ def test_equal_pieces_are_dealt_evenly(spark):
     """A hot id, or none: 200,000 equal rows meant for 8 groups, and no group has more than its bound."""
     files = 4 * spark.sparkContext.defaultParallelism
     rows = spark.range(200_000).select(F.lit(None).cast("long").alias("id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(7).cast("long").alias("length"), F.lit(5).cast("long").alias("crc"))
-    groups = packing._groups(200_000, 25_100, files)
+    groups = packing._groups(200_000, 25_000, files)
     numbered = rows.repartition(files).withColumn("n", F.monotonically_increasing_id())
     sizes = [r["count"] for r in numbered.groupBy(packing.in_turn(F.col("n"), groups)).count().collect()]
-    assert len(sizes) == groups == 9 and max(sizes) <= 25_100 and max(sizes) - min(sizes) <= files
+    assert len(sizes) == groups == 9 and max(sizes) <= 25_000 and max(sizes) - min(sizes) <= files
     out = packing.pack(rows.limit(20_000), group=5_000)
     full = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count_distinct("offset").alias("places"), F.count("*").alias("rows"))
     got = full.agg(F.sum("rows"), F.max("n"), F.count("*"), F.count_if("places <> rows")).first()
-    assert tuple(got) == (20_000, 2044, 69, 0)
+    assert (got[0], got[1], got[3]) == (20_000, 2044, 0) and got[2] <= 74  # 69 can't be undercut; each group may leave one open

@@ -69,3 +69,51 @@ def test_words_that_polynomials_confuse(spark, n):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, shingle=3, similarity=(85, 100)).collect()}
     assert got == components(rows, 3, 85, 100)
+
+
+def chain(n: int) -> list:
+    """Texts of which each shares just too little with the next: close by estimate, no true link."""
+    r = random.Random(n)
+    words = [f"w{r.randrange(10**9)}" for _ in range(24 * n + 200)]
+    return [(i, " ".join(words[24 * i : 24 * i + 200])) for i in range(n)]
+
+
+def test_a_chain_without_links_costs_its_close_pairs(spark, monkeypatch):
+    """Twice the texts make twice the close pairs and twice the sets that are dealt out, not four times."""
+    counts = []
+    large = minhash._large
+
+    def counted(sets, members, close, keyed, lanes, num, den):
+        confirmed, more = large(sets, members, close, keyed, lanes, num, den)
+        counts.append((close.count(), more.count(), confirmed.count()))
+        return confirmed, more
+
+    monkeypatch.setattr(minhash, "_large", counted)
+    for n in (1000, 2000, 4000):
+        df = spark.createDataFrame(chain(n), "doc_id long, text string")
+        out = near_duplicates(df, shingle=5, similarity=(4, 5))
+        assert out.where("component_id <> doc_id").count() == 0
+    assert all(linked == 0 for *_, linked in counts) and len(counts) == 3
+    for (close, dealt, _), (close2, dealt2, _) in zip(counts, counts[1:]):
+        assert 1.5 < close2 / close < 2.6 and 1.5 < dealt2 / dealt < 2.6
+    assert all(dealt <= 3 * close for close, dealt, _ in counts)
+
+
+def test_true_links_between_parts_that_the_forest_left_apart(spark, monkeypatch):
+    """Small blocks, many near misses, some true links: the same components as all pairs."""
+    monkeypatch.setattr(minhash, "FAMILY_BLOCK", 4)
+    r = random.Random(11)
+    words = [f"w{r.randrange(10**9)}" for _ in range(2200)]
+    texts = []
+    for i in range(70):
+        w = words[24 * i : 24 * i + 200]
+        texts.append(list(w))
+        if r.random() < 0.5:
+            for _ in range(r.choice([1, 2, 4, 6])):
+                w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+            texts.append(w)
+    rows = list(enumerate(" ".join(w) for w in texts))
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates(df, shingle=5, similarity=(4, 5)).collect()}
+    assert got == components(rows, 5, 4, 5)
