@@ -326,11 +326,11 @@ def _blocks(rows: DataFrame, key: str) -> DataFrame:
     return rows.where(~same).withColumn("i", F.when(one, 0).otherwise(F.least("_own", "_other"))).withColumn("j", F.when(one, 0).otherwise(F.greatest("_own", "_other"))).drop("_n", "_blocks", "_own", "_other")
 
 
-def _large(sets: DataFrame, members: DataFrame, close: DataFrame, keyed: DataFrame, lanes: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def _large(sets: DataFrame, members: DataFrame, close: DataFrame, signed: DataFrame, lanes: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """For large families: links among the close pairs, and the groups in which close pairs of parts that are still apart meet.
 
     ``sets`` is (id, shingles), ``members`` (family, id, n), ``close`` pairs (u, v),
-    ``keyed`` (id, signature, key), a row for each bucket of a document.
+    ``signed`` (id, signature, bands).
     """
     pairs = close.join(members.select(F.col("id").alias("u")), "u")
     hubs = pairs.groupBy("v").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("salts"))
@@ -346,7 +346,8 @@ def _large(sets: DataFrame, members: DataFrame, close: DataFrame, keyed: DataFra
     named = members.join(parts, members.id == parts.node, "left").select("family", "id", "n", F.coalesce("component", "id").alias("part"))
     apart = named.groupBy("family").agg((F.min("part") != F.max("part")).alias("apart")).where("apart").select("family")
     named = named.join(apart, "family", "left_semi").withColumn("own", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / FAMILY_BLOCK)).cast("int"))
-    held = keyed.join(named.select("id", "family", "part", "own"), "id")
+    # only members of families that are still apart are opened into their buckets
+    held = signed.join(named.select("id", "family", "part", "own"), "id").select("id", "signature", "family", "part", "own", F.explode("bands").alias("key"))
     buckets = _blocks(held, "key").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
     met = buckets.select("key", "i", "j", "id", "part", "own", "family", "signature").mapInArrow(_across(lanes), "family long, i int, j int, id long").distinct()
     return confirmed, met.join(sets, "id").select("family", "i", "j", "id", F.lit(True).alias("open"), "shingles")
@@ -386,7 +387,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     confirmed = None
     if not large.isEmpty():
         held = cut(sets(large), "sets")
-        confirmed, more = _large(held, large, close, members, lanes, num, den)
+        confirmed, more = _large(held, large, close, reps.select(F.col("rep").alias("id"), "signature", "bands"), lanes, num, den)
         dealt = dealt.unionByName(more)
     dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "id")
     links = dealt.mapInArrow(_confirm(num, den), "u long, v long")

@@ -83,13 +83,13 @@ def test_a_chain_without_links_costs_its_close_pairs(spark, monkeypatch):
     counts = []
     large = minhash._large
 
-    def counted(sets, members, close, keyed, lanes, num, den):
-        confirmed, more = large(sets, members, close, keyed, lanes, num, den)
+    def counted(sets, members, close, signed, lanes, num, den):
+        confirmed, more = large(sets, members, close, signed, lanes, num, den)
         counts.append((close.count(), more.count(), confirmed.count()))
         return confirmed, more
 
     monkeypatch.setattr(minhash, "_large", counted)
-    for n in (1000, 2000, 4000):
+    for n in (500, 1000, 2000):
         df = spark.createDataFrame(chain(n), "doc_id long, text string")
         out = near_duplicates(df, shingle=5, similarity=(4, 5))
         assert out.where("component_id <> doc_id").count() == 0
