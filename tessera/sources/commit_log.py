@@ -29,6 +29,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tessera.scratch import cut
+
 SCHEMA = "oid string, unix long, author string, subject string, status string, path string"
 
 
@@ -40,10 +42,17 @@ class Segment(InputPartition):
     oldest: int
 
 
+def _store(root: str) -> tuple:
+    """The file system of a folder, and the folder's path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+
+
 def _files(root: str) -> tuple:
     from pyarrow import fs
 
-    store, at = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+    store, at = _store(root)
     found = store.get_file_info(fs.FileSelector(at, recursive=True))
     return store, [f.path for f in found if f.is_file and not f.base_name.startswith(("_", "."))]
 
@@ -99,12 +108,6 @@ class _Reader(DataSourceReader):
                 yield (*commit, subject, status, path)
 
 
-def _store(root: str) -> tuple:
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
-
-
 class CommitLog(DataSource):
     """``spark.read.format("commit_log").option("cutoff", 900).option("max_commits", 500).load(folder)``."""
 
@@ -196,10 +199,8 @@ def within_budget(refs: DataFrame, most_bytes: int, most_files: int) -> tuple[Da
     come in two steps, within ranges of paths and over the ranges, so that a ref
     with very many paths is not one task.
     """
-    spans = refs.repartitionByRange("ref", "path").sortWithinPartitions("ref", "path").withColumn("_p", F.spark_partition_id())
-    from tessera.scratch import cut
-
-    spans = cut(spans, "refs")
+    # written, so that both uses see the same ranges
+    spans = cut(refs.repartitionByRange("ref", "path").withColumn("_p", F.spark_partition_id()), "refs")
     sums = spans.groupBy("ref", "_p").agg(F.count("*").alias("n"), F.sum("byte_len").alias("b"))
     ahead = Window.partitionBy("ref").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     # a row for each ref and range
