@@ -57,3 +57,12 @@ def test_nearest_matches_by_choosing_one_after_another(spark):
     got = sorted(V.nearest_matches(frame(0), frame(1), ["name", "kind"]).collect(), key=str)
     want = [(*k, *p) for k, v in groups.items() for p in (plainly(*v) if k[1] is not None else [(x, None) for x in v[0]] + [(None, y) for y in v[1]])]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_requests_meet_a_row_of_each_kind(planned):
+    symbols = planned.range(500).selectExpr("'f' AS path", "'run' AS name", "IF(id = 7, 'class', 'function') AS kind", "id AS line")
+    asked = planned.range(400).selectExpr("id AS request", "'f' AS path", "IF(id % 2 = 0, 'run', 'a::run') AS wanted", "CAST(IF(id % 4 = 3, 'function', NULL) AS STRING) AS wanted_kind")
+    got = N.select_symbol(symbols, asked)
+    rows = {x.request: (x.state, x.candidates, x.line) for x in got.collect()}
+    assert all(v == (("ambiguous", 499, None) if k % 4 == 3 else ("selected", 500, 7)) for k, v in rows.items()) and len(rows) == 400
+    assert join_rows(got) <= 400 * 2 * 3
