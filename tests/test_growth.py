@@ -66,3 +66,11 @@ def test_requests_meet_a_row_of_each_kind(planned):
     rows = {x.request: (x.state, x.candidates, x.line) for x in got.collect()}
     assert all(v == (("ambiguous", 499, None) if k % 4 == 3 else ("selected", 500, 7)) for k, v in rows.items()) and len(rows) == 400
     assert join_rows(got) <= 400 * 2 * 3
+
+
+def test_calls_meet_a_row_of_each_word(planned):
+    definitions = planned.range(500).selectExpr("id AS node", "'run' AS name", "IF(id = 3, 'src/b.rs', 'src/a.rs') AS path", "CAST(NULL AS STRING) AS owner")
+    calls = planned.range(400).selectExpr("id AS call", "'run' AS name", "IF(id % 2 = 0, 'a::run', 'b::run') AS qualified")
+    got = R.resolve_qualified(calls, definitions)
+    assert {(x.call, x.node) for x in got.collect()} == {(i, 3) for i in range(1, 400, 2)}
+    assert join_rows(got) <= 400
