@@ -22,7 +22,8 @@ def age_days(ts: str, now: str) -> Column:
 
 def churn(log: DataFrame, now: str, *, half_life: float = 14.0) -> DataFrame:
     """Per path of (oid, path, ts): commits and decayed churn."""
-    return log.groupBy("path").agg(F.count_distinct("oid").alias("commits"), F.sum(decay(age_days("ts", now), half_life)).alias("churn"))
+    # dealt out first, so that a task doesn't hold what the log was joined by as well
+    return log.repartition("path", "oid").groupBy("path").agg(F.count_distinct("oid").alias("commits"), F.sum(decay(age_days("ts", now), half_life)).alias("churn"))
 
 
 def churn_rank(churned: DataFrame) -> DataFrame:
@@ -35,7 +36,8 @@ def churn_rank(churned: DataFrame) -> DataFrame:
 
 def ownership(log: DataFrame, *, top: int = 5) -> DataFrame:
     """Per path of (oid, path, author): the authors with most commits and their shares."""
-    each = log.groupBy("path", "author").agg(F.count_distinct("oid").alias("commits"))
+    # dealt out first, as in churn
+    each = log.repartition("path", "author", "oid").groupBy("path", "author").agg(F.count_distinct("oid").alias("commits"))
     whole = Window.partitionBy("path")
     ranked = each.withColumn("share", F.round(100.0 * F.col("commits") / F.sum("commits").over(whole), 6)).withColumn("nth", F.row_number().over(whole.orderBy(F.desc("commits"), "author")).cast("long"))
     return ranked.where(F.col("nth") <= top)
@@ -46,19 +48,30 @@ def latest(log: DataFrame) -> DataFrame:
     return log.groupBy("path").agg(F.max_by("oid", F.struct("ts", -F.col("oid"))).alias("oid"), F.max("ts").alias("ts"))
 
 
+def _gathered(log: DataFrame, most_files: int, *more: Column) -> DataFrame:
+    """(oid, paths) of commits of 2 to ``most_files`` different paths, sorted, with ``more`` aggregates of their rows.
+
+    One sort a task: of a large commit only one path more than fits is gathered,
+    which tells that it is too large.
+    """
+    nth = F.dense_rank().over(Window.partitionBy("oid").orderBy("path"))
+    first = log.where("oid IS NOT NULL AND path IS NOT NULL").withColumn("_nth", nth).where(F.col("_nth") <= most_files + 1)
+    return first.groupBy("oid").agg(F.array_sort(F.collect_set("path")).alias("paths"), *more).where(F.size("paths").between(2, most_files))
+
+
+def _opened(small: DataFrame, most_files: int, *keep: str) -> DataFrame:
+    each = small.select("oid", "paths", *keep, F.posexplode("paths").alias("at", "a"))
+    return each.select("oid", "a", F.explode(F.slice("paths", F.col("at") + 2, most_files)).alias("b"), *keep)
+
+
 def pairs(log: DataFrame, *, most_files: int = 50) -> DataFrame:
     """(oid, a, b) with a < b for paths of one commit; commits of more than ``most_files`` make none, so a commit's pairs are bounded."""
-    rows = log.select("oid", "path").distinct()
-    # large commits go before anything of them is gathered
-    fit = rows.groupBy("oid").agg(F.count("*").alias("n")).where(F.col("n").between(2, most_files)).select("oid")
-    small = rows.join(fit, "oid", "left_semi").groupBy("oid").agg(F.array_sort(F.collect_set("path")).alias("paths"))
-    opened = small.select("oid", "paths", F.posexplode("paths").alias("at", "a"))
-    return opened.select("oid", "a", F.explode(F.slice("paths", F.col("at") + 2, most_files)).alias("b"))
+    return _opened(_gathered(log.select("oid", "path"), most_files), most_files)
 
 
 def co_change(log: DataFrame, *, shared: int = 2, least: float = 0.15, most_files: int = 50) -> DataFrame:
     """Jaccard of commits for pairs of paths; large commits stay in the denominators."""
-    counts = log.groupBy("path").agg(F.count_distinct("oid").alias("n"))
+    counts = log.select("path", "oid").repartition("path", "oid").groupBy("path").agg(F.count_distinct("oid").alias("n"))
     # a pair occurs once a commit
     both = pairs(log, most_files=most_files).groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= shared)
     left, right = counts.select(F.col("path").alias("a"), F.col("n").alias("na")), counts.select(F.col("path").alias("b"), F.col("n").alias("nb"))
@@ -98,8 +111,9 @@ def top_partners(edges: DataFrame, order: list, *, top: int) -> DataFrame:
 
 def ledger(log: DataFrame, *, most_files: int = 200) -> DataFrame:
     """A row for each commit and pair: base weight 1 / log2(files + 1) and the commit's time."""
-    sizes = log.groupBy("oid").agg(F.count_distinct("path").alias("files"), F.max("ts").alias("ts"))
-    return pairs(log, most_files=most_files).join(sizes, "oid").select("oid", "a", "b", (1.0 / F.log2(F.col("files") + 1)).alias("base"), "ts")
+    small = _gathered(log.select("oid", "path", "ts"), most_files, F.max("ts").alias("ts"))
+    sized = small.withColumn("base", 1.0 / F.log2(F.size("paths") + 1))
+    return _opened(sized, most_files, "base", "ts")
 
 
 def weighted(ledger_: DataFrame, now: str, *, half_life: float = 30.0) -> DataFrame:

@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from tessera.operators import relations as R, resolution as N, views as V
+from tessera.operators import history as H, relations as R, resolution as N, views as V
 
 
 @pytest.fixture
@@ -74,3 +74,28 @@ def test_calls_meet_a_row_of_each_word(planned):
     got = R.resolve_qualified(calls, definitions)
     assert {(x.call, x.node) for x in got.collect()} == {(i, 3) for i in range(1, 400, 2)}
     assert join_rows(got) <= 400
+
+
+def test_pairs_sort_a_log_once(planned):
+    log = planned.range(3000).selectExpr("id % 300 AS oid", "concat('p', id % 7 * (id % 300 % 4) + id DIV 300) AS path", "timestamp'2000-01-01' AS ts")
+    many = planned.range(60).selectExpr("-1L AS oid", "concat('q', id) AS path", "timestamp'2000-01-01' AS ts")
+    every = log.unionByName(many)
+    found = H.ledger(every, most_files=50)
+    plan = nodes(found)
+    rows = [(x.oid, x.a, x.b) for x in found.collect()]
+    assert not any("Join" in n.nodeName() for n in plan)
+    assert sum(n.nodeName() == "Sort" for n in plan) <= 2
+    by = {}
+    for x in every.collect():
+        by.setdefault(x.oid, set()).add(x.path)
+    assert sorted(rows) == sorted((o, a, b) for o, p in by.items() if len(p) <= 50 for a in p for b in p if a < b)
+
+
+def test_counted_commits_dont_share_a_stage_with_joins(planned):
+    log = planned.range(100).selectExpr("id % 9 AS oid", "concat('p', id % 5) AS path", "id % 3 AS author", "timestamp'2000-01-01' AS ts").join(planned.range(9).selectExpr("id AS oid"), "oid")
+    for f in (H.churn(log, "2000-01-02 00:00:00"), H.ownership(log)):
+        text = f._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_COL" in text
+    edges = planned.range(50).selectExpr("id % 7 AS importer", "id % 5 AS target")
+    found = N.through_reexports(edges, edges.selectExpr("importer AS hub", "target"))
+    assert "REPARTITION_BY_COL" in found._jdf.queryExecution().executedPlan().toString()
