@@ -3,9 +3,12 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 
-from tessera.operators import history as H, relations as R, resolution as N, views as V
+import tessera.plans  # noqa: F401
+from tessera.operators import history as H, relations as R, resolution as N, sourcecode as S, views as V
+from tessera.plans.registry import QUERIES
 
 
 @pytest.fixture
@@ -99,3 +102,24 @@ def test_counted_commits_dont_share_a_stage_with_joins(planned):
     edges = planned.range(50).selectExpr("id % 7 AS importer", "id % 5 AS target")
     found = N.through_reexports(edges, edges.selectExpr("importer AS hub", "target"))
     assert "REPARTITION_BY_COL" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_facts_leave_in_stretches(spark, monkeypatch):
+    """A batch of many files is passed on in stretches of rows, and only records asked for are made."""
+    n = 2000
+    batch = pa.RecordBatch.from_pydict({"path": [f"{i}.py" for i in range(n)], "language": ["python"] * n, "content": [f"def f():\n    g({i})\nx = f()\n" for i in range(n)]})
+    passed = [b.num_rows for b in S._batches(iter([batch]), S.RECORDS)]
+    assert sum(passed) == sum(len(S.read("python", c.as_py())) for c in batch.column("content")) > S.STRETCH == max(passed)
+    files = spark.createDataFrame(batch.slice(0, 50).to_pylist())
+    every = {r: S.extract(files).where(f"record = '{r}'").orderBy("path", "start", "name").collect() for r in S.RECORDS}
+    for r in S.RECORDS:
+        assert S.extract(files, records=[r]).orderBy("path", "start", "name").collect() == every[r]
+    assert every["symbol"] and every["reference"] and every["status"]
+
+
+def test_callers_parse_each_file_once(planned, tmp_path):
+    planned.sql("SELECT id AS l_orderkey, 1 AS l_linenumber, id AS l_partkey, id AS l_suppkey FROM range(5)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    planned.sql("SELECT id AS o_orderkey, IF(id = 1, 'P', 'O') AS o_orderstatus FROM range(5)").write.parquet(f"{tmp_path}/orders.parquet")
+    got = QUERIES["source_callers"](planned, str(tmp_path))
+    assert sum("MapInArrow" in n.nodeName() or "MapInPandas" in n.nodeName() for n in nodes(got)) == 1
+    assert {tuple(x) for x in got.collect()} >= {(f"orders/{k}.{e}", "line_1", f"part_{k}", 1) for k, e in enumerate(["rs", "py", "ts", "java", "go"])}
