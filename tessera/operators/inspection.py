@@ -109,7 +109,9 @@ def edit_plan(edits: DataFrame) -> DataFrame:
     good = (F.col("start") >= 0) & (F.col("end") >= F.col("start"))
     order = Window.partitionBy("path", good).orderBy("start", "end", "text")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min("start").over(order.rowsBetween(1, Window.unboundedFollowing))
+    # the rows behind, in the order backwards: a frame that grows takes each row once, one that shrinks begins anew at each
+    back = Window.partitionBy("path", good).orderBy(F.desc("start"), F.desc("end"), F.desc("text"))
+    after = F.min("start").over(back.rowsBetween(Window.unboundedPreceding, -1))
     crossing = F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False))
     state = F.when(~good, "invalid").when(crossing, "overlap").otherwise("applicable")
     place = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("start"), F.desc("end"), F.desc("text"))).cast("long")

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 import tessera.plans  # noqa: F401
-from tessera.operators import history as H, relations as R, resolution as N, sourcecode as S, views as V
+from tessera.operators import history as H, inspection as I, relations as R, resolution as N, sourcecode as S, views as V
 from tessera.plans.registry import QUERIES
 
 
@@ -123,3 +123,15 @@ def test_callers_parse_each_file_once(planned, tmp_path):
     got = QUERIES["source_callers"](planned, str(tmp_path))
     assert sum("MapInArrow" in n.nodeName() or "MapInPandas" in n.nodeName() for n in nodes(got)) == 1
     assert {tuple(x) for x in got.collect()} >= {(f"orders/{k}.{e}", "line_1", f"part_{k}", 1) for k, e in enumerate(["rs", "py", "ts", "java", "go"])}
+
+
+def test_edit_plan_of_a_large_file(planned):
+    n = 3000
+    edits = planned.range(n).selectExpr("'f' AS path", "id * 10 AS start", "id * 10 + IF(id % 3 = 0, 11, 5) AS end", "'t' AS text")
+    unknown = planned.sql("SELECT 'g' AS path, NULL AS start, 5 AS end, 't' AS text UNION ALL SELECT 'g', NULL, 7, 't' UNION ALL SELECT 'g', 3, NULL, 't'")
+    got = I.edit_plan(edits.unionByName(unknown))
+    assert "UnboundedFollowing" not in got._jdf.queryExecution().optimizedPlan().toString().replace(" ", "").replace("unboundedfollowing", "UnboundedFollowing")
+    state = {(x.path, x.start, x.end): x.state for x in got.collect()}
+    # each third edit reaches into the next
+    assert all(state["f", i * 10, i * 10 + (5, 11)[i % 3 == 0]] == ("applicable" if i % 3 == 2 else "overlap") for i in range(n - 1))
+    assert state["g", None, 5] == state["g", None, 7] == "overlap" and state["g", 3, None] == "overlap"
