@@ -23,18 +23,24 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators import sourcecode as S
+from tessera.scratch import cut
 
 CAP = 20
 SECTIONS = ("body", "callers", "usages", "callees", "types", "implementations", "siblings", "dependents", "suggestions", "activity")
 _TYPES = ("struct", "enum", "class", "interface", "trait")
 
 
+def _candidates(requests: DataFrame, facts: DataFrame, how: str) -> DataFrame:
+    """Requests with the symbols (s) that they fit."""
+    symbols = S.symbols(facts).select(F.col("path").alias("_p"), F.col("name").alias("_n"), F.col("kind").alias("_k"), F.struct("ordinal", "first_line", "last_line", "depth", "start", "stop", "kind").alias("s"))
+    fits = (F.col("path") == F.col("_p")) & (F.col("name") == F.col("_n")) & (F.col("kind").isNull() | (F.col("kind") == F.col("_k"))) & (F.col("line").isNull() | (F.col("line") == F.col("s.first_line")))
+    return requests.join(symbols, fits, how)
+
+
 def selected(requests: DataFrame, facts: DataFrame) -> DataFrame:
     """Requests with state (found, ambiguous, symbol_not_found, file_not_found), candidate lines, and the symbol if it is one."""
-    symbols = S.symbols(facts).select(F.col("path").alias("_p"), F.col("name").alias("_n"), F.col("kind").alias("_k"), F.struct("ordinal", "first_line", "last_line", "depth", "start", "stop", "kind").alias("s"))
     files = S.status(facts).select(F.col("path").alias("_f"), F.lit(True).alias("known")).distinct()
-    fits = (F.col("path") == F.col("_p")) & (F.col("name") == F.col("_n")) & (F.col("kind").isNull() | (F.col("kind") == F.col("_k"))) & (F.col("line").isNull() | (F.col("line") == F.col("s.first_line")))
-    met = requests.join(symbols, fits, "left").groupBy("request", "path", "name").agg(F.count("s").alias("n"), F.min("s").alias("s"), F.array_sort(F.collect_list("s.first_line")).alias("lines"))
+    met = _candidates(requests, facts, "left").groupBy("request", "path", "name").agg(F.count("s").alias("n"), F.min("s").alias("s"), F.array_sort(F.collect_list("s.first_line")).alias("lines"))
     state = F.when(F.col("n") == 1, "found").when(F.col("n") > 1, "ambiguous").when(F.col("known"), "symbol_not_found").otherwise("file_not_found")
     return met.join(files, F.col("path") == F.col("_f"), "left").select("request", "path", "name", state.alias("state"), F.when(F.col("n") > 1, F.col("lines")).alias("lines"), F.when(F.col("n") == 1, F.col("s")).alias("symbol"))
 
@@ -48,10 +54,12 @@ def entries(requests: DataFrame, facts: DataFrame, files: DataFrame, *, sections
     wanted = tuple(SECTIONS if sections is None else sections)
     if unknown := set(wanted) - set(SECTIONS):
         raise ValueError(f"unknown sections {sorted(unknown)}")
-    own = selected(requests, facts).where("state = 'found'").select("request", F.col("path").alias("own_path"), F.col("name").alias("own_name"), "symbol.*").withColumnRenamed("kind", "own_kind").withColumnRenamed("ordinal", "own_ordinal").withColumnRenamed("depth", "own_depth").withColumnRenamed("first_line", "own_line")
+    single = _candidates(requests, facts, "inner").groupBy("request", "path", "name").agg(F.count("s").alias("n"), F.min("s").alias("s")).where("n = 1")
+    own = single.select("request", F.col("path").alias("own_path"), F.col("name").alias("own_name"), "s.*").withColumnRenamed("kind", "own_kind").withColumnRenamed("ordinal", "own_ordinal").withColumnRenamed("depth", "own_depth").withColumnRenamed("first_line", "own_line")
+    if len(wanted) > 1:  # chosen once, not for each section
+        own = cut(own, "own-symbols")
     refs = S.references(facts)
-    around = S.symbols(facts).select(F.col("path").alias("_p"), F.col("ordinal").alias("_o"), F.concat_ws(" ", F.lit("in"), "kind", "name").alias("where_"))
-    placed = refs.join(around, (F.col("path") == F.col("_p")) & (F.col("enclosing") == F.col("_o")), "left")
+    placed = refs.withColumn("where_", F.when(F.col("around").isNotNull(), F.concat_ws(" ", F.lit("in"), "around_kind", "around")))
     row = lambda f, section, name, kind, path, line, detail: f.select("request", F.lit(section).alias("section"), name.alias("name"), kind.alias("kind"), path.alias("path"), line.cast("int").alias("line"), detail.cast("string").alias("detail"))
     c, none = F.col, F.lit(None)
     use = lambda f, section: row(f, section, c("qualified"), c("kind"), c("path"), c("line"), c("where_"))
@@ -96,7 +104,7 @@ def entries(requests: DataFrame, facts: DataFrame, files: DataFrame, *, sections
 def shown(every: DataFrame, *, cap: int = CAP) -> DataFrame:
     """The first entries of each request and section, numbered."""
     nth = F.row_number().over(Window.partitionBy("request", "section").orderBy("path", F.col("line").asc_nulls_last(), "name", F.col("detail").asc_nulls_last()))
-    return every.withColumn("nth", nth.cast("long")).where(F.col("nth") <= cap)
+    return every.withColumn("nth", nth).where(F.col("nth") <= cap).withColumn("nth", F.col("nth").cast("long"))
 
 
 def totals(every: DataFrame, *, cap: int = CAP) -> DataFrame:

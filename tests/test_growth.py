@@ -135,3 +135,20 @@ def test_edit_plan_of_a_large_file(planned):
     # each third edit reaches into the next
     assert all(state["f", i * 10, i * 10 + (5, 11)[i % 3 == 0]] == ("applicable" if i % 3 == 2 else "overlap") for i in range(n - 1))
     assert state["g", None, 5] == state["g", None, 7] == "overlap" and state["g", 3, None] == "overlap"
+
+
+def test_chosen_columns_of_facts(spark):
+    files = spark.createDataFrame([("a.py", "python", "class A:\n    def f(self):\n        return g(1)\n")], "path string, language string, content string")
+    every, some = S.extract(files), S.extract(files, records=["symbol", "reference"], columns=["name", "kind"])
+    assert some.columns == ["path", "record", "name", "kind"] and {"around", "around_kind"} <= set(every.columns)
+    assert [(x.name, x.first_line, x.digest) for x in S.symbols(some).orderBy("name").collect()] == [("A", None, None), ("f", None, None)]
+    assert [(x.name, x.around, x.around_kind) for x in S.references(every).collect()] == [("g", "f", "method")]
+    assert [(x.name, x.around) for x in S.symbols(every).orderBy("name").collect()] == [("A", None), ("f", "A")]
+
+
+def test_plain_files_have_the_same_tokens():
+    rng = random.Random(2)
+    for _ in range(300):
+        content = "".join(rng.choice(["def f(x):", "\n", "  ", "a::b", "->", "1.5e3", "é", "x", "(", ")", "{", "٣", "\r\n", "$y", "_z", "=>", ";"]) for _ in range(rng.randrange(40)))
+        source = S.Source("typescript", content)
+        assert [*zip(source.kinds, source.texts, source.starts, source.lines, strict=True)] == source._lex()
