@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 import tessera.plans  # noqa: F401
-from tessera.operators import history as H, inspection as I, relations as R, resolution as N, sourcecode as S, views as V
+from tessera.operators import history as H, impact as M, inspection as I, relations as R, resolution as N, sourcecode as S, symbolviews as W, views as V
 from tessera.plans.registry import QUERIES
 
 
@@ -152,3 +152,24 @@ def test_plain_files_have_the_same_tokens():
         content = "".join(rng.choice(["def f(x):", "\n", "  ", "a::b", "->", "1.5e3", "é", "x", "(", ")", "{", "٣", "\r\n", "$y", "_z", "=>", ";"]) for _ in range(rng.randrange(40)))
         source = S.Source("typescript", content)
         assert [*zip(source.kinds, source.texts, source.starts, source.lines, strict=True)] == source._lex()
+
+
+def test_calls_are_placed_without_a_join(planned):
+    files = planned.createDataFrame([(f"{i}.py", "python", f"def f{i}():\n    return f{i + 1}()\n") for i in range(20)], "path string, language string, content string")
+    facts = S.extract(files).cache()
+    got = M.call_edges(facts)
+    assert {tuple(x) for x in got.collect()} == {(f"{i}.py::f{i}", f"{i + 1}.py::f{i + 1}") for i in range(19)}
+    assert sum("Join" in n.nodeName() for n in nodes(got)) == 1  # calls with definitions
+    asked = planned.createDataFrame([("q", "3.py", "f3", None, None)], "request string, path string, name string, kind string, line int")
+    callers = W.entries(asked, facts, files, sections=["callers"])
+    assert [(x.path, x.detail) for x in callers.collect()] == [("2.py", "in function f2")]
+    assert sum("Join" in n.nodeName() for n in nodes(callers)) == 2  # requests with symbols, names with calls
+
+
+def test_unchanged_files_arent_read_without_hops(planned, monkeypatch):
+    frame = lambda n: planned.createDataFrame([(f"{i}.py", "python", f"def f{i}():\n    return {n if i == 3 else 0}\n") for i in range(20)], "path string, language string, content string")
+    read, extract = [], S.extract
+    monkeypatch.setattr(S, "extract", lambda files, *a, **k: read.append(files.count()) or extract(files, *a, **k))
+    found = M.impact(frame(1), frame(2), M.options(["main"], depth=0))
+    assert [(x.path, x.name, x.change) for x in found.symbols.collect()] == [("3.py", "f3", "changed")] and found.blast.count() == 0
+    assert read == [1, 1]
