@@ -173,3 +173,31 @@ def test_unchanged_files_arent_read_without_hops(planned, monkeypatch):
     found = M.impact(frame(1), frame(2), M.options(["main"], depth=0))
     assert [(x.path, x.name, x.change) for x in found.symbols.collect()] == [("3.py", "f3", "changed")] and found.blast.count() == 0
     assert read == [1, 1]
+
+
+def test_versions_meet_once(planned):
+    """Changed files come with their texts from one join, so neither version is gone through again for them."""
+    frame = lambda rows: planned.createDataFrame(rows, "path string, language string, content string")
+    old = frame([("a.py", "python", "def a():\n    return 1\n"), ("b.py", "python", "def b():\n    return 1\n"), ("c.py", "python", "def c():\n    return a()\n"), ("d.py", "python", None), (None, "python", "def n(): pass\n")])
+    new = frame([("a.py", "python", "def a():\n    return 2\n"), ("e.py", "python", "def e():\n    return 1\n"), ("c.py", "python", "def c():\n    return a()\n"), ("d.py", "python", None), ("f.py", "python", None)])
+    contents = M.changed_contents(old, new)
+    assert {(x.path, x.change) for x in contents.collect()} == {("a.py", "modified"), ("b.py", "removed"), ("e.py", "added"), ("f.py", "added"), (None, "removed")}
+    assert sum("Join" in n.nodeName() for n in nodes(contents)) == 1
+    found = M.impact(old, new, M.options(["main"]))
+    assert {(x.path, x.name, x.change) for x in found.symbols.collect()} == {("a.py", "a", "changed"), ("b.py", "b", "removed"), ("e.py", "e", "added")}
+    assert {tuple(x) for x in found.blast.collect()} == {("c.py::c", 1, "high")} and found.files.count() == 5
+
+
+def test_unchanged_files_of_both_versions_are_written_once(planned, tmp_path):
+    from tessera.plans import source_queries as Q
+
+    planned.sql("SELECT id AS p_partkey, 40 + id AS p_size FROM range(9)").write.parquet(f"{tmp_path}/part.parquet")
+    planned.sql("SELECT id DIV 2 AS l_orderkey, IF(id = 3, NULL, 8 - id) AS l_partkey FROM range(9)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    planned.sql("SELECT id AS o_orderkey, id % 2 AS o_custkey FROM range(5)").write.parquet(f"{tmp_path}/orders.parquet")
+    old, new = Q.versions(planned, str(tmp_path))
+    for version in (old, new):
+        assert "lineitem" not in version._jdf.queryExecution().optimizedPlan().toString().lower() and len(version.inputFiles()) > 0
+    texts = {x.path: x.content for x in new.collect()}
+    assert texts["orders/0.py"] == "def order_0(n):\n    return part_7(n) + part_8(n)\n" and texts["orders/1.py"] == "def order_1(n):\n    return part_6(n)\n"
+    assert texts["customers/1.go"] == "package main\n\nfunc customer_1(n int) int {\n\treturn order_1(n) + order_3(n)\n}\n"
+    assert texts["nations/3.rs"] == "fn main() {\n    let n = 1;\n    part_3(n);\n}\n" and texts["parts/6.ts"] == "// moved\n\nexport function part_6(n: number): number {\n  return n + 47;\n}\n"
