@@ -224,6 +224,20 @@ def test_names_that_a_file_has_more_than_once(spark):
     assert I.changed_symbols(s(one("1", "2")), s("\n\n" + one("1", "2"))).count() == 0
 
 
+def test_equal_texts_match_before_near_lines(spark):
+    one = lambda *bodies: "".join(f"impl T{i} {{\n  fn go() {{ {b} }}\n}}\n" for i, b in enumerate(bodies))
+    s = lambda text: S.symbols(S.extract(files(spark, {"x.rs": text}))).where("name = 'go'")
+    changed = lambda old, new: {(r.change, r.old_line, r.new_line) for r in I.changed_symbols(s(old), s(new)).collect()}
+    assert changed(one("1", "2"), one("9", "1", "2")) == {("added", None, 2)}
+    assert changed(one("9", "1", "2"), one("1", "2")) == {("removed", 2, None)}
+    assert changed(one("1", "2", "3"), one("3", "1", "8")) == {("changed", 5, 8)}
+    # of equal texts the nearest match, and one to one
+    assert changed(one("1", "1", "2"), one("4", "1", "2")) == {("changed", 2, 2)}
+    assert changed(one("1", "1", "1"), one("1")) == {("removed", 5, None), ("removed", 8, None)}
+    # two on one line
+    assert changed("impl A { fn go() { 1 } }  impl B { fn go() { 2 } }", "impl A { fn go() { 1 } }  impl B { fn go() { 3 } }") == {("changed", 1, 1)}
+
+
 def test_options():
     assert I.options(["origin/main", "main"]) == I.Options("origin/main", notes=("compared with origin/main, not with the local main",))
     assert I.options(["main"]) == I.Options("main", 2, "symbols", True, ())
