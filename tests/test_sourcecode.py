@@ -238,6 +238,14 @@ def test_equal_texts_match_before_near_lines(spark):
     assert changed("impl A { fn go() { 1 } }  impl B { fn go() { 2 } }", "impl A { fn go() { 1 } }  impl B { fn go() { 3 } }") == {("changed", 1, 1)}
 
 
+def test_moved_texts_in_the_counts_and_the_report(spark):
+    old = {"x.rs": "impl A { fn go() { 1 } }\nimpl B { fn go() { 2 } }\n", "y.rs": "fn main() { 5 }\n"}
+    new = old | {"x.rs": "impl N { fn up() { go() } }\nimpl A { fn go() { 1 } }\nimpl B { fn go() { 2 } }\nimpl C { fn go() { 3 } }\n"}
+    got = I.impact(files(spark, old), files(spark, new), I.options(["main"]))
+    assert {r["list"]: r.total for r in got.counts().collect()}["changed_symbols"] == 4  # N, up, C and C's go
+    assert {(r.name, r.change, r.old_line, r.new_line) for r in got.symbols.where("name = 'go'").collect()} == {("go", "added", None, 4)}
+
+
 def test_options():
     assert I.options(["origin/main", "main"]) == I.Options("origin/main", notes=("compared with origin/main, not with the local main",))
     assert I.options(["main"]) == I.Options("main", 2, "symbols", True, ())
