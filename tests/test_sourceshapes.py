@@ -63,6 +63,26 @@ def test_a_shape_is_read_once():
     assert len(read) == 3
 
 
+def test_numbers_equal_by_chance_make_no_other_shape():
+    """Only runs in names of constants, variables, imports and aliases, and in words like them, are compared."""
+    read = []
+    shapes = Shapes(lambda *a: read.append(a[1]) or S.read(*a), S.LANGUAGES, S.RECORDS, S._FIELDS)
+    rng = random.Random(1)
+    for k in range(300):
+        n = [rng.randrange(1, 8) for _ in range(8)]
+        content = f"import a.supplier_{k + 90} as first\nLIMIT_{k} = 7\nclass Order_{k}:\n" + "".join(f"    def line_{i}(self):\n        return part_{j}(LIMIT_{k}, {i})\n" for i, j in zip(n[:4], n[4:], strict=True))
+        assert [[*c] for c in shapes.columns("python", content)] == [[r.get(x) for r in S.read("python", content)] for x in S._FIELDS]
+    assert len(read) <= 5
+
+
+def test_numbers_of_names_that_are_compared():
+    """A constant that a later word equals or not, an import that is renamed or only named again."""
+    shapes = Shapes(S.read, S.LANGUAGES, S.RECORDS, S._FIELDS)
+    for a, b in [(1, 2), (3, 4), (5, 5), (6, 6), (7, 8), (9, 9)] * 2:
+        for language, content in (("python", f"L_{a} = 7\ndef f(n):\n    return g(L_{b})\n"), ("python", f"import a{a} as a{b}\nimport c{a} as d{a}\n"), ("rust", f"use x::{{m as a{a}, n as a{b}}};\nconst T{a}: u32 = 1;\nfn f() -> T{b} {{ g() }}\n"), ("go", f'import (\n  a{a} "a{b}"\n)\n')):
+            assert [[*c] for c in shapes.columns(language, content)] == [[r.get(x) for r in S.read(language, content)] for x in S._FIELDS], content
+
+
 def test_shapes_that_dont_come_again_are_bounded(monkeypatch):
     import tessera.operators.sourceshapes as H
 
