@@ -201,3 +201,11 @@ def test_unchanged_files_of_both_versions_are_written_once(planned, tmp_path):
     assert texts["orders/0.py"] == "def order_0(n):\n    return part_7(n) + part_8(n)\n" and texts["orders/1.py"] == "def order_1(n):\n    return part_6(n)\n"
     assert texts["customers/1.go"] == "package main\n\nfunc customer_1(n int) int {\n\treturn order_1(n) + order_3(n)\n}\n"
     assert texts["nations/3.rs"] == "fn main() {\n    let n = 1;\n    part_3(n);\n}\n" and texts["parts/6.ts"] == "// moved\n\nexport function part_6(n: number): number {\n  return n + 47;\n}\n"
+
+
+def test_callers_come_with_their_calls(planned):
+    """Calls aren't brought together with the symbols of their files again, and symbols aren't extracted."""
+    got = QUERIES["source_callers"](planned, "/root/testdata/sf0.001")
+    names = [n.nodeName() for n in nodes(got)]
+    assert not [n for n in names if n.startswith("Window")] and "MapInArrow" in names
+    assert {r.caller[:5] for r in got.where("called LIKE 'part%'").collect()} == {"line_"}
